@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    sc = spark.sparkContext
+    if _shipped.get("app") == sc.applicationId:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), "helixspark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    z.write(file, os.path.join("helixspark", os.path.relpath(file, here)))
+    sc.addPyFile(path)
+    _shipped["app"] = sc.applicationId
+
+
+_shipped: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) a
     temporary folder is made and set.
     """
+    ship(spark)
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
@@ -35,4 +58,5 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
