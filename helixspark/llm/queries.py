@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from helixspark.llm import exact_dedup, mixing, url_filter
+from helixspark.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op4_bpe": bpe.op4_bpe,
+    "op7_minhash": near_dedup.op7_minhash,
     "op8_mixing": mixing.op8_mixing,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
