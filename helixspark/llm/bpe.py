@@ -222,22 +222,24 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return _codecs[key]
 
 
-def _encoded(path: str | None, pattern: str | None, digests: bool):
+SCHEMA = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def _encoded(path: str | None, pattern: str | None, columns: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             _, offsets = words.buffers(batch.column(1))
             for i, j in words.slices(offsets):
-                ids, named = batch.column(0).slice(i, j - i), ["doc_id", "n_tokens"]
                 found = own.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
-                n = pa.array([len(x) for x, _ in found], pa.int64())
-                if digests:
-                    sha = [[hashlib.sha256(x).hexdigest() for x in col] for col in ((s.encode() for _, s in found), (own.decode(x) for x, _ in found))]
-                    yield pa.RecordBatch.from_arrays([ids, n, *map(pa.array, sha)], [*named, "ids_sha256", "decoded_sha256"])
-                else:
+                out = {"doc_id": batch.column(0).slice(i, j - i), "n_tokens": pa.array([len(x) for x, _ in found], pa.int64())}
+                if "ids" in columns:
                     ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in found])])
-                    flat = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int32)
-                    yield pa.RecordBatch.from_arrays([ids, n, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], [*named, "ids"])
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for x, _ in found]), pa.int32()))
+                if "ids_sha256" in columns:
+                    out["ids_sha256"] = pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in found])
+                    out["decoded_sha256"] = pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x, _ in found])
+                yield pa.RecordBatch.from_arrays([out[c] for c in columns], list(columns))
 
     return run
 
@@ -247,9 +249,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def _in_batches(docs: DataFrame, id_col: str, text_col: str, path: str | None, pattern: str | None, columns: Sequence[str]) -> DataFrame:
+    return _rows(docs, id_col, text_col).mapInArrow(_encoded(path, pattern, columns), ", ".join(f"{c} {SCHEMA[c]}" for c in columns))
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids of every document. ``path``: a rank file that every executor can open."""
-    return _rows(docs, id_col, text_col).mapInArrow(_encoded(path, pattern, False), "doc_id long, n_tokens long, ids array<int>")
+    return _in_batches(docs, id_col, text_col, path, pattern, ("doc_id", "n_tokens", "ids"))
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -267,7 +273,12 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the bytes decoded from them, in one pass."""
-    return _rows(docs, id_col, text_col).mapInArrow(_encoded(path, pattern, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _in_batches(docs, id_col, text_col, path, pattern, ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The ids with both digests."""
+    return _in_batches(docs, id_col, text_col, path, pattern, tuple(SCHEMA))
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

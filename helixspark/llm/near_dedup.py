@@ -156,6 +156,10 @@ def linked_labels(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, perce
     return labels
 
 
+def _every_block():
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block")
+
+
 def _decide(percent: int):
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_numpy()
@@ -213,7 +217,7 @@ def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, degree:
     best = F.row_number().over(W.partitionBy("cluster").orderBy(F.col("degree").desc(), "doc_id"))
     pivots = large.select("cluster", "blocks", "doc_id").join(degree, "doc_id").withColumn("best", best).where(F.col("best") <= PIVOTS)
     pivots = pivots.select("doc_id").join(large, "doc_id")
-    everywhere = pivots.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("block"), *columns, "blocks", F.col("block").alias("home")).where("block <> home")
+    everywhere = pivots.select("cluster", _every_block(), *columns, "blocks", F.col("block").alias("home")).where("block <> home")
     first = large.select("cluster", "block", *columns).unionByName(everywhere.select("cluster", "block", *columns))
     met = cut(first.groupBy("cluster", "block").applyInArrow(lambda t: decide(t), edges).where("a <> b"))
     labels = cut(connected_components(met).toDF("doc_id", "found"))
@@ -223,7 +227,7 @@ def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, degree:
     main = parts.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     apart = large.join(main, "cluster").where("label <> main").drop("main")
     homes = apart.select("cluster", F.col("block").alias("from")).distinct()
-    asked = apart.select("cluster", F.col("block").alias("from"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("block"), *columns)
+    asked = apart.select("cluster", F.col("block").alias("from"), _every_block(), *columns)
     there = large.join(homes, "cluster").select("cluster", "from", "block", *columns)
     own = asked.where("`from` <> block").unionByName(there)
     rest = own.groupBy("cluster", "from", "block").applyInArrow(lambda t: decide(t), edges).where("a <> b")
