@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from helixspark.llm import bpe, exact_dedup, mixing, near_dedup, quality_lm, quality_rules, toxicity, url_filter, warc
+from helixspark.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality_lm, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_pii": pii.op3_pii,
     "op4_bpe": bpe.op4_bpe,
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
