@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is two ordinary aggregations and joins; the edges are cut in the shared folder each
-round, and nothing but a count and a checksum reaches the driver.
+round, whose shuffle files then go, and nothing but a count and a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.session import cut
+from helixspark.session import cut, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,4 +35,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
         edges = cut(_small_star(_large_star(edges)))
+        release(edges.sparkSession)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

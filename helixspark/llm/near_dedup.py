@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from helixspark.llm import words
 from helixspark.llm.components import connected_components
-from helixspark.session import cut, table
+from helixspark.session import cut, release, ship, table
 
 BUCKET_BITS, MANTISSA = 7, 10
 REGISTERS = 1 << BUCKET_BITS
@@ -172,25 +172,31 @@ def _decide(percent: int):
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. ``size``: words in a shingle."""
+    spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = cut(rows.mapInArrow(_sketches(size), SKETCH))
     key = ["n", "set_a", "set_b"]
     named = sketches.where("n > 0 and doc_id is not null")
     classes = cut(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("bands").alias("bands")))
     # rows with one id are one node: the smallest id stands for a class, so such ids link their classes
-    twice = named.groupBy("doc_id").agg(F.count_distinct(*key).alias("sets")).where("sets > 1").select("doc_id")
+    twice = cut(named.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).where("x <> y").select("doc_id"))
     same = named.join(twice, "doc_id").join(classes.select(*key, "rep"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    release(spark)
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("a")).where("k > 1")
     pairs = cut(banded.join(buckets, "band").groupBy("a", F.col("rep").alias("b")).agg(F.sum("k").alias("k")))
+    release(spark)
     degree = pairs.groupBy(F.col("b").alias("doc_id")).agg(F.sum("k").alias("degree"))
     own = classes.select("rep", F.col("n").alias("n"), "registers")
     compared = pairs.where("a <> b").select("a", "b").join(own.toDF("a", "n_a", "regs_a"), "a").join(own.toDF("b", "n_b", "regs_b"), "b")
     near = compared.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_estimates, "a long, b long, estimate double").where(F.col("estimate") >= ESTIMATE)
     clusters = connected_components(near.select("a", "b")).toDF("doc_id", "cluster")
 
-    links = _verified(rows, clusters, classes, degree, size, percent).unionByName(same)
+    links = _verified(rows, clusters, classes, degree, size, percent)
+    if not twice.isEmpty():
+        links = links.unionByName(same)
     components = connected_components(links).toDF("rep", "component")
     node = classes.select(*key, "rep").join(components, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     found = sketches.join(node, key, "left")
@@ -206,6 +212,7 @@ def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, degree:
     members = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
     sets = rows.join(members.select("doc_id", "cluster", "blocks"), "doc_id").select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, shingles array<long>")
     sets = cut(sets.where(F.size("shingles") > 0))
+    release(rows.sparkSession)
     placed = members.join(sets, "doc_id").withColumn("label", F.col("doc_id"))
     decide, edges = _decide(percent), "a long, b long"
     columns = ["doc_id", "shingles", "label"]
