@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from helixspark.session import ship, table
 
 #: Labelled rows of each kind from which the classifier learns, at most: those with the least hash of the id.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Features that the classifier keeps, at most, and the chi-square they need.
 FEATURES, LEAST_CHI2, LEAST_DOCS = 400, 20.0, 4
 THRESHOLD = 0.7
@@ -153,12 +153,13 @@ class Restorer:
         return found, len(tokens)
 
 
-def features(words: set[str]) -> set[str]:
-    """Words, and beginnings of longer ones with a hyphen."""
-    out = set(words)
-    for k in PREFIXES:
-        out.update([w[:k] + "-" for w in words if len(w) > k])
-    return out
+def features(words: Iterable[str]) -> Iterator[str]:
+    """Distinct words, and beginnings of longer ones with a hyphen, which may repeat."""
+    for w in words:
+        yield w
+        for k in PREFIXES:
+            if len(w) > k:
+                yield w[:k] + "-"
 
 
 @dataclass
@@ -170,7 +171,7 @@ class Classifier:
     def hits(self, words: Iterable[str]) -> tuple[str, ...]:
         """The features of a few words that have a weight."""
         w = self.weights
-        return tuple(f for x in words for f in (x, *[x[:k] + "-" for k in PREFIXES if len(x) > k]) if f in w) if w else ()
+        return tuple(f for f in features(words) if f in w) if w else ()
 
     def score(self, hits: set[str], size: int) -> float:
         z = self.bias + self.length * _long(size) + sum(self.weights[f] for f in sorted(hits))
@@ -182,7 +183,7 @@ def _long(size: int) -> float:
     return math.log(size + 1) - 5
 
 
-def fit(rows: list[tuple[set[str], int]], labels: np.ndarray, steps: int = 25, penalty: float = 0.05) -> Classifier:
+def fit(rows: list[tuple[tuple[str, ...], int]], labels: np.ndarray, steps: int = 25, penalty: float = 0.05) -> Classifier:
     """Logistic regression by Newton steps, on the features most unevenly spread over the two kinds of rows.
 
     Both kinds weigh the same, however many rows of each there are.
@@ -190,11 +191,14 @@ def fit(rows: list[tuple[set[str], int]], labels: np.ndarray, steps: int = 25, p
     toxic, clean = int(labels.sum()), int((1 - labels).sum())
     if not toxic or not clean:
         return Classifier({}, 30.0 * (1 if toxic else -1))
-    own = [features(x) if y else None for (x, _), y in zip(rows, labels, strict=True)]
-    seen = Counter(f for x in own if x for f in x)
+    # a feature of few rows is known by its bucket, so only the others are ever held by name
+    buckets = np.zeros(1 << 22, np.int32)
+    for (x, _), y in zip(rows, labels, strict=True):
+        if y:
+            np.add.at(buckets, [hash(f) & 0x3FFFFF for f in set(features(x))], 1)
+    seen = Counter(f for (x, _), y in zip(rows, labels, strict=True) if y for f in set(features(x)) if buckets[hash(f) & 0x3FFFFF] >= LEAST_DOCS)
     often = {f for f, a in seen.items() if a >= LEAST_DOCS}
-    own = [features(r) & often if x is None else x & often for (r, _), x in zip(rows, own, strict=True)]
-    other = Counter(f for x, y in zip(own, labels, strict=True) if not y for f in x)
+    other = Counter(f for (x, _), y in zip(rows, labels, strict=True) if not y for f in {f for f in features(x) if f in often})
     n, ranked = toxic + clean, []
     for f in often:
         a, b = seen[f], other[f]
@@ -207,8 +211,8 @@ def fit(rows: list[tuple[set[str], int]], labels: np.ndarray, steps: int = 25, p
     x = np.zeros((len(rows), len(names) + 2), np.float32)
     x[:, -1] = 1
     x[:, -2] = [_long(size) for _, size in rows]
-    for i, r in enumerate(own):
-        x[i, [column[f] for f in r if f in column]] = 1
+    for i, (r, _) in enumerate(rows):
+        x[i, list({column[f] for f in features(r) if f in column})] = 1
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
     weight = np.where(labels == 1, len(rows) / (2 * toxic), len(rows) / (2 * clean))
@@ -245,8 +249,8 @@ def learn(docs: DataFrame, labels: DataFrame, lm: list, id_col: str = "doc_id",
     pick = lambda kind: named.where(F.col("toxic") == kind).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     chosen = pick(0).unionByName(pick(1)).dropDuplicates(["label_id"])
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["label_id"]).select(F.col(text_col).alias("text"), "toxic").toArrow()
-    restorer = Restorer(lm)
-    words = [restorer.words(t or "") for t in rows.column("text").to_pylist()]
+    restorer = Restorer(lm, remember=50_000)
+    words = [(tuple(own), size) for own, size in (restorer.words(t.as_py() or "") for t in rows.column("text"))]
     return fit(words, rows.column("toxic").to_numpy().astype(np.int64))
 
 
