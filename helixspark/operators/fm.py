@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helixspark.functions.alphabet import SENTINEL, Alphabet, index_of
 from helixspark.operators.ordered import global_rank
-from helixspark.operators.sequences import continued, sequence_index, windows
+from helixspark.operators.sequences import continued, last_sequence, sequence_index, windows
 from helixspark.session import cut
 
 #: Letters that the first ranking compares, and rows between milestones.
@@ -26,7 +26,7 @@ def suffix_array(sequences: DataFrame, alphabet: Alphabet, max_query_len: int |
     """
     first = min(FIRST, max_query_len or FIRST)
     index = sequence_index(sequences.withColumn("header", F.lit("")))
-    last = sequences.agg(F.max("seq_idx")).first()[0]
+    last = last_sequence(sequences)
     ended = sequences.select("seq_idx", F.when(F.col("seq_idx") == last, F.concat("seq", F.lit(SENTINEL))).otherwise(F.col("seq")).alias("seq"))
     text = continued(ended, first, alphabet)
     starts = windows(text, 1, first).join(index.select("seq_idx", "start_position"), "seq_idx")

@@ -25,16 +25,22 @@ def sequence_index(sequences: DataFrame) -> DataFrame:
     return running_sum(rows, "seq_idx", F.col("length") + 1, "start_position").select("seq_idx", "header", "start_position", "length")
 
 
+def last_sequence(sequences: DataFrame) -> int:
+    """The greatest number; -1 if there are no sequences."""
+    found = sequences.agg(F.max("seq_idx")).first()[0]
+    return -1 if found is None else found
+
+
 def continued(sequences: DataFrame, letters: int, alphabet: Alphabet) -> DataFrame:
     """seq_idx, seq, tail: what follows each sequence in the text of all, ``letters`` letters at most.
 
     Each round doubles how many sequences a tail reaches over, by an equi-join on the number.
     """
     rows = sequences.select("seq_idx", "seq")
-    last = rows.agg(F.max("seq_idx")).first()[0]
+    last = last_sequence(rows)
     heads = rows.select("seq_idx", F.expr(f"left(concat(seq, if(seq_idx = {last}L, '', '{alphabet.ambiguity}')), {letters})").alias("head"))
     heads, step = cut(heads), 1
-    while last is not None and step <= last and step < letters:
+    while step <= last and step < letters:
         after = heads.select((F.col("seq_idx") - step).alias("seq_idx"), F.col("head").alias("more"))
         short = heads.where(F.length("head") < letters)
         if short.where(F.col("seq_idx") + step <= last).isEmpty():
@@ -65,7 +71,7 @@ def windows(sequences: DataFrame, size: int, longest: int | None = None, chunk:
 def letters(sequences: DataFrame, alphabet: Alphabet) -> DataFrame:
     """pos, symbol of the text of all sequences: delimiters between them and the sentinel at the end."""
     index = sequence_index(sequences.withColumn("header", F.lit("")))
-    last = sequences.agg(F.max("seq_idx")).first()[0]
+    last = last_sequence(sequences)
     end = F.when(F.col("seq_idx") == F.lit(last), SENTINEL).otherwise(alphabet.ambiguity)
     ended = sequences.select("seq_idx", F.concat("seq", end).alias("seq"))
     return windows(ended, 1).join(index.select("seq_idx", "start_position"), "seq_idx").select((F.col("start_position") + F.col("pos")).alias("pos"), F.col("kmer").alias("symbol"))
