@@ -37,8 +37,8 @@ PREFIXES = (3, 4, 5, 6)
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
 SIZE = len(LETTERS) + 1
-#: Costs in nats: a resembling sign, a dropped separator, a dropped repeat (of a run of two; of more).
-RESEMBLES, SEPARATOR, REPEAT, LONG_REPEAT = 1.0, 1.0, 2.0, 0.5
+#: Costs in nats: a resembling sign, one dropped or taken for a border, a dropped separator, a dropped repeat (of a run of two; of more).
+RESEMBLES, SIGN, BORDER, SEPARATOR, REPEAT, LONG_REPEAT = 0.5, 8.0, 4.0, 1.0, 5.0, 0.5
 EDGE = ".,;:!?\"'()[]{}<>«»…|#*%&-_=/\\~`^"
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 _CODES = np.zeros(0x250, np.int64)
@@ -82,7 +82,8 @@ def lattice(token: str) -> list[list[tuple[int, float]]]:
         if c in _INDEX:
             arcs = [(_INDEX[c], 0.0)]
         else:
-            arcs = [(0, 0.0), (-1, SEPARATOR), *((_INDEX[x], RESEMBLES) for x in LEET.get(c, ""))]
+            signs = LEET.get(c, "")
+            arcs = [(0, BORDER if signs else 0.0), (-1, SIGN if signs else SEPARATOR), *((_INDEX[x], RESEMBLES) for x in signs)]
         if run > 1 and c in _INDEX:
             long = run > 2 or token[i + 1 : i + 2] == c
             arcs.append((-1, LONG_REPEAT if long else REPEAT))
@@ -131,7 +132,7 @@ class Restorer:
         parts = _WORDS.findall(core)
         if not parts:
             return ()
-        hidden = any(c in LEET for c in core) or len(parts) > 2 and max(map(len, parts)) == 1 or _TRIPLE.search(core)
+        hidden = any(c in LEET for c in core) or len(parts) > 2 and max(map(len, parts)) <= 2 or _TRIPLE.search(core)
         return tuple(restore(core, self.lm).split()) if hidden else tuple(parts)
 
     def words(self, text: str) -> tuple[set[str], int]:
