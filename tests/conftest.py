@@ -2,6 +2,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -39,8 +40,13 @@ def duck():
 def same_rows(spark, duck):
     """Whether a query and its SQL give the same columns and rows, in any order."""
 
+    def shown(v):
+        if v is pd.NA or v is None or v != v:
+            return ""
+        return str(int(v) if isinstance(v, float) and v == int(v) else v)
+
     def rows(df, columns):
-        return sorted(tuple("" if v is None or v != v else str(int(v) if isinstance(v, float) and v == int(v) else v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
+        return sorted(tuple(map(shown, r)) for r in df[columns].astype(object).itertuples(index=False))
 
     def check(found, sql):
         a, b = found.toPandas(), duck.sql(sql).df()
