@@ -104,3 +104,22 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = rf"""
+with t as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
+d as (select doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from t),
+win as (select doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) as h from d, unnest(range(1, len(w) - {WINDOW - 2})) as x(i)),
+twice as (select doc_id, i from win qualify count(*) over (partition by doc_id, h) > 1),
+rep as (select doc_id, count(distinct i + j) as n from twice, unnest(range(0, {WINDOW})) as y(j) group by doc_id),
+c as (select doc_id, host, len(w) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+             len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines, coalesce(rep.n, 0) as n_repeat_words from d left join rep using (doc_id)),
+b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words as base_failed from c),
+f as (select *, base_failed or n_symbols > {MAX_SYMBOLS}::double * word_chars or n_dup_lines > {MAX_DUP_LINES}::double * n_lines as rules_failed from b),
+h as (select host, count(*) as n, sum(rules_failed::int) as k from f group by host),
+p as (select least(greatest(avg(k / n), 1e-3), 1 - 1e-3) as m, var_pop(k / n) as v from h),
+s as (select m, case when v > 0 then least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) else 1000.0 end as strength from p),
+bad as (select host from h, s where (k + m * strength) / (n + strength) > {HOST_RATE})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed, rules_failed,
+       host in (select host from bad) as host_failed, not base_failed and host not in (select host from bad) as kept from f
+"""

@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op2_url_filter": url_filter.OP2_SQL,
     "op5_warc": warc.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op10_quality_rules": quality_rules.OP10_SQL,
 }
