@@ -154,6 +154,7 @@ QUERIES = {
     "search_range": lambda s, d: index(s, d).search_ranges(_prefixes(s, d, 6)),
     "extend_range": extend_range,
     "kmer_lookup": lambda s, d: index(s, d).kmer_lookup(_prefixes(s, d, 5)),
+    "index_sizes": lambda s, d: index(s, d).table_sizes(),
     "index_metadata": lambda s, d: index(s, d).metadata().drop("max_query_len"),
     "index_roundtrip": index_roundtrip,
 }
@@ -212,6 +213,8 @@ ORACLE_SQL = {
     "search_range": f"with {_FM}, {_SUPPLIER_PREFIX.format(6)} {_range('q')}",
     "extend_range": f"with {_FM}, e as (select x.symbol as range_symbol, y.symbol as symbol from a x cross join a y where x.symbol <> '$' and y.symbol <> '$') select range_symbol, e.symbol, coalesce(min(row), 1) as start_ptr, coalesce(max(row), 0) as end_ptr from e left join fm on substr(t, pos + 1, 2) = e.symbol || range_symbol group by range_symbol, e.symbol",
     "kmer_lookup": f"with {_FM}, {_SUPPLIER_PREFIX.format(5)} {_range('q')}",
+    "index_sizes": f"with {_FM} select 'sequences' as table_name, count(*) as n from d union all select 'suffix_array', count(*) from fm union all select 'bwt', count(*) from fm union all select 'prefix_sums', 7 union all "
+    "select 'milestones', 6 * count(distinct row // 256) from fm union all select 'sampled', count(*) from fm where row % 8 = 0 union all select 'kmer_ranges', count(distinct substr(t, pos + 1, 5)) from fm where regexp_full_match(substr(t, pos + 1, 5), '[ACGT]{5}')",
     "index_metadata": f"with {_FM} select cast(1 as bigint) as version_number, 'nucleotide' as alphabet, cast(8 as bigint) as suffix_array_compression_ratio, cast(5 as bigint) as kmer_len, cast(length(t) as bigint) as bwt_len from t",
     "index_roundtrip": f"with {_FM}, {_PARTS.format(4)} select query_id, count(fm.row) as n, cast((select length(t) from t) as bigint) as bwt_len, cast(1 as bigint) as version_number from q left join fm on pattern = substr(fm.t, pos + 1, 4) group by query_id",
 }

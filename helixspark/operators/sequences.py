@@ -10,7 +10,8 @@ from helixspark.operators.ordered import as_of, running_sum
 from helixspark.session import cut
 
 #: Letters in a piece of a sequence whose windows are taken apart together. ``substring`` counts
-#: characters from the start, so windows of whole sequences would take quadratic time.
+#: characters from the start, so windows of whole sequences would take quadratic time, and so would
+#: pieces that are cut out one by one.
 CHUNK = 256
 
 
@@ -62,8 +63,12 @@ def windows(sequences: DataFrame, size: int, longest: int | None = None, chunk:
     tail = F.col("tail") if "tail" in sequences.columns else F.lit("")
     text = sequences.select("seq_idx", F.concat("seq", tail).alias("text"), F.length(F.concat("seq", F.substring(tail, 1, 1))).alias("own"))
     text = text.withColumn("n", F.least(F.col("own"), F.length("text") - size + 1)).where("n > 0")
-    pieces = text.select("seq_idx", "n", "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("piece"))
-    pieces = pieces.select("seq_idx", (F.col("piece") * chunk).alias("at"), F.least(F.lit(chunk), F.col("n") - F.col("piece") * chunk).alias("n"), F.substring("text", F.col("piece") * chunk + 1, F.lit(chunk + longest - 1)).alias("part"))
+    # one pass cuts the text into chunks; each then gets the letters that its last windows need from the next
+    chunk = max(chunk, longest)
+    text = text.select("seq_idx", "n", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("chunks"))
+    joined = F.transform("chunks", lambda c, i: F.concat(c, F.coalesce(F.substring(F.get("chunks", i + 1), 1, longest - 1), F.lit(""))))
+    pieces = text.select("seq_idx", "n", F.posexplode(joined).alias("piece", "part")).where(F.col("piece") * chunk < F.col("n"))
+    pieces = pieces.select("seq_idx", (F.col("piece") * chunk).alias("at"), F.least(F.lit(chunk), F.col("n") - F.col("piece") * chunk).alias("n"), "part")
     starts = pieces.select("seq_idx", "at", "part", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
     return starts.select("seq_idx", (F.col("at") + F.col("i")).cast("long").alias("pos"), F.substring("part", F.col("i") + 1, F.lit(size)).alias("kmer"), F.substring("part", F.col("i") + 1, F.lit(longest)).alias("rest"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,6 +121,12 @@ class Index:
         row = (VERSION, str(o.alphabet), o.suffix_array_compression_ratio, o.kmer, o.max_query_len, self.bwt_len)
         return self.spark.createDataFrame([row], "version_number long, alphabet string, suffix_array_compression_ratio long, kmer_len long, max_query_len long, bwt_len long")
 
+    def table_sizes(self) -> DataFrame:
+        """table_name, n: rows of each table, built where it isn't yet."""
+        every = [("sequences", self.sequences), ("suffix_array", self.suffix_array), ("bwt", self.bwt), ("prefix_sums", self.prefix_sums), ("milestones", self.milestones), ("sampled", self.sampled_suffix_array), ("kmer_ranges", self.kmer_ranges)]
+        found = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in every]
+        return reduce(DataFrame.unionByName, found)
+
     # ---- queries
 
     def parallel_count(self, queries: DataFrame) -> DataFrame:
