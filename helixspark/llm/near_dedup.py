@@ -40,6 +40,8 @@ ESTIMATE = 0.5
 #: A cluster is decided in one task up to so many members and shingles.
 MAX_MEMBERS, MAX_SHINGLES = 512, 1_000_000
 PIVOTS = 8
+#: Ids (of clustered documents, or of those to drop) are broadcast up to so many (16 MB), joined by a shuffle of the texts beyond.
+MAX_BROADCAST = 1_000_000
 _U = np.uint64
 _ORDER = np.stack([np.random.default_rng(j).permutation(REGISTERS) for j in range(REGISTERS)])
 _BAND_SALT = words.mix(np.arange(1, BANDS + 1).astype(np.uint64))
@@ -210,7 +212,9 @@ def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, degree:
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("k") / F.lit(MAX_MEMBERS), F.col("shingles") / F.lit(MAX_SHINGLES))).cast("int")
     members = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
-    sets = rows.join(members.select("doc_id", "cluster", "blocks"), "doc_id").select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, shingles array<long>")
+    wanted = members.select("doc_id")
+    wanted = F.broadcast(wanted) if members.count() <= MAX_BROADCAST else wanted
+    sets = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, shingles array<long>")
     sets = cut(sets.where(F.size("shingles") > 0))
     release(rows.sparkSession)
     placed = members.join(sets, "doc_id").withColumn("label", F.col("doc_id"))
@@ -233,7 +237,8 @@ def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, degree:
     parts = large.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     apart = large.join(main, "cluster").where("label <> main").drop("main")
-    homes = apart.select("cluster", F.col("block").alias("from")).distinct()
+    homes = cut(apart.select("cluster", F.col("block").alias("from")).distinct())
+    homes = F.broadcast(homes) if homes.count() <= MAX_BROADCAST else homes
     asked = apart.select("cluster", F.col("block").alias("from"), _every_block(), *columns)
     there = large.join(homes, "cluster").select("cluster", "from", "block", *columns)
     own = asked.where("`from` <> block").unionByName(there)
@@ -243,7 +248,8 @@ def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, degree:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, whole, one of each group of near copies: that with the smallest id."""
-    dropped = near_groups(docs, id_col, text_col, size, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    dropped = cut(near_groups(docs, id_col, text_col, size, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    dropped = F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST else dropped
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"))
     return rows.join(dropped, rows["id"] == dropped["gone"], "left_anti").select("doc.*")
 
