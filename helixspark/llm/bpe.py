@@ -28,7 +28,7 @@ from helixspark.session import ship, table
 
 WIDEST = 128
 #: Cells of a matrix that are merged at once, and pieces that a worker remembers.
-CELLS, REMEMBER = 1 << 19, 300_000
+CELLS, REMEMBER = 1 << 19, 100_000
 _U = np.uint64
 _NONE = np.int32(2**31 - 1)
 
@@ -85,9 +85,9 @@ class Codec:
         self.length = np.array([len(t) for t in tokens], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids: list[np.ndarray] = []
         self.texts: list[str] = []
@@ -192,7 +192,7 @@ class Codec:
     def encode(self, texts: Sequence[str]) -> list[tuple[np.ndarray, str]]:
         """Ids of each text, as numbers and as decimals joined by spaces."""
         if len(self.ids) > REMEMBER:
-            self._clear()
+            self.forget()
         split = [self.split(t) for t in texts]
         places = self._places([p for x in split for p in x])
         found, i = [], 0
@@ -240,6 +240,7 @@ def _encoded(path: str | None, pattern: str | None, columns: Sequence[str]):
                     out["ids_sha256"] = pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in found])
                     out["decoded_sha256"] = pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x, _ in found])
                 yield pa.RecordBatch.from_arrays([out[c] for c in columns], list(columns))
+        own.forget()  # Spark keeps the worker for other tasks
 
     return run
 

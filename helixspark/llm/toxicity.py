@@ -120,7 +120,7 @@ class Restorer:
 
     lm: list
     of: Callable[[Iterable[str]], tuple[str, ...]] = tuple
-    remember: int = 300_000
+    remember: int = 100_000
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def _token(self, token: str) -> tuple[str, ...]:
