@@ -31,9 +31,12 @@ def test_columns(stages):
         assert [c for c, _ in stages[name][1].dtypes] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_toxicity(spark, sf, stages):
-    before, after = stages["toxicity"]
-    bad = {r.doc_id for r in toxicity.toxicity(before, table(spark, sf, "labels")).collect() if r.predicted}
+def test_toxicity(spark):
+    """Over a folder with enough labels to learn from."""
+    d = "/root/testdata/sf0.01"
+    before = table(spark, d, "documents")
+    bad = {r.doc_id for r in toxicity.toxicity(before, table(spark, d, "labels")).collect() if r.predicted}
+    after = corpus_pipeline.remove_toxic(spark, before, d)
     assert bad and rows(after) == [r for r in rows(before) if r[0] not in bad]
 
 
