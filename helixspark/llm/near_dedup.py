@@ -7,7 +7,9 @@
 2. Documents with equal sets collapse into one class.
 3. 32 bands of 4 registers; classes that share a band are compared by registers with the band's
    smallest member, and stay together at an estimate, corrected for chance collisions, of 0.5
-   (two copies of one original, each at 0.8 to it, are still at 0.6 to one another).
+   (two copies of one original, each at 0.8 to it, are still at 0.6 to one another). Where some
+   aren't near that member, all others of the band are compared with each other, large bands in
+   blocks; only pairs whose sizes rule the similarity out are skipped, and such as are together.
 4. In each cluster so formed all pairs are decided on full sets. Pairs already connected are
    skipped, and the text that shares most comes first, so a cluster takes few passes over its sets.
    Clusters too large for a task are split into blocks, all compared with the best connected
@@ -40,6 +42,8 @@ ESTIMATE = 0.5
 #: A cluster is decided in one task up to so many members and shingles.
 MAX_MEMBERS, MAX_SHINGLES = 512, 1_000_000
 PIVOTS = 8
+#: Members of a band are compared with each other in blocks of about so many, each pair of blocks in one task.
+BAND_MEMBERS = 1024
 #: Ids (of clustered documents, or of those to drop) are broadcast up to so many (16 MB), joined by a shuffle of the texts beyond.
 MAX_BROADCAST = 1_000_000
 _U = np.uint64
@@ -117,6 +121,43 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(est)], ["a", "b", "estimate"])
 
 
+def near_labels(regs: np.ndarray, n: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """A label for each row of registers: equal for all that a chain of estimates of ESTIMATE connects.
+
+    Pairs whose sizes ``n`` rule out the similarity, and with ``side`` those of one side, aren't compared.
+    """
+    order = np.argsort(n, kind="stable")
+    regs, n, labels = regs[order], n[order], np.arange(len(n))
+    side = None if side is None else side[order]
+    ends = np.searchsorted(n, 100 * n // percent, "right")
+    for p in range(len(n)):
+        others = labels[p + 1 : ends[p]] != labels[p]
+        if side is not None:
+            others &= side[p + 1 : ends[p]] != side[p]
+        others = np.flatnonzero(others) + p + 1
+        if not len(others):
+            continue
+        est = corrected((regs[others] == regs[p]).sum(1), n[others], n[p])
+        found = np.unique(labels[others[est >= ESTIMATE]])
+        if len(found):
+            labels[np.isin(labels, found)] = labels[p]
+    back = np.empty_like(labels)
+    back[order] = labels
+    return back
+
+
+def _within_band(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        ids, block = group.column("b").to_numpy(), group.column("block").to_numpy()
+        regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        one = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
+        labels = near_labels(regs, group.column("n").to_numpy(), percent, None if one else block)
+        first = np.unique(labels, return_index=True, return_inverse=True)
+        return pa.table({"a": ids[first[1]][first[2]], "b": ids})
+
+    return run
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,13 +229,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("a")).where("k > 1")
-    pairs = cut(banded.join(buckets, "band").groupBy("a", F.col("rep").alias("b")).agg(F.sum("k").alias("k")))
+    shared = cut(banded.join(buckets, "band").select("band", "a", F.col("rep").alias("b"), "k"))
+    pairs = cut(shared.groupBy("a", "b").agg(F.sum("k").alias("k")))
     release(spark)
     degree = pairs.groupBy(F.col("b").alias("doc_id")).agg(F.sum("k").alias("degree"))
     own = classes.select("rep", F.col("n").alias("n"), "registers")
     compared = pairs.where("a <> b").select("a", "b").join(own.toDF("a", "n_a", "regs_a"), "a").join(own.toDF("b", "n_b", "regs_b"), "b")
-    near = compared.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_estimates, "a long, b long, estimate double").where(F.col("estimate") >= ESTIMATE)
-    clusters = connected_components(near.select("a", "b")).toDF("doc_id", "cluster")
+    star = cut(compared.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_estimates, "a long, b long, estimate double"))
+    near = star.where(F.col("estimate") >= ESTIMATE).select("a", "b")
+    # members that aren't near their band's smallest may be near any other of the band
+    far = star.where(F.col("estimate") < ESTIMATE).select("a", "b")
+    within = _near_within_bands(shared, far, own, percent)
+    clusters = connected_components(near if within is None else near.unionByName(within)).toDF("doc_id", "cluster")
 
     links = _verified(rows, clusters, classes, degree, size, percent)
     if not twice.isEmpty():
@@ -206,6 +252,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _near_within_bands(shared: DataFrame, far: DataFrame, own: DataFrame, percent: int) -> DataFrame | None:
+    """Edges a, b between near members of the bands in which some member is far from the smallest."""
+    undecided = shared.where("k > 2")
+    open_bands = undecided.join(far, ["a", "b"], "left_semi").select("band").distinct()
+    members = cut(undecided.where("a <> b").join(open_bands, "band", "left_semi"))
+    if members.isEmpty():
+        return None
+    members = members.withColumn("blocks", F.ceil(F.col("k") / F.lit(BAND_MEMBERS)).cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("b"), "blocks")).select("band", "b", "block", "blocks")
+    asked = members.join(own.toDF("b", "n", "registers"), "b").select("band", "b", "n", "registers", F.col("block").alias("own"), "blocks", _every_block())
+    pairs = asked.select("band", F.least("own", "block").alias("lo"), F.greatest("own", "block").alias("hi"), "b", "n", "registers", F.col("own").alias("block"))
+    decide = _within_band(percent)
+    return pairs.groupBy("band", "lo", "hi").applyInArrow(lambda t: decide(t), "a long, b long").where("a <> b").distinct()
+
+
 def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, degree: DataFrame, size: int, percent: int) -> DataFrame:
     """Edges a, b that connect what is linked within each cluster."""
     members = cut(clusters.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id"))

@@ -223,6 +223,54 @@ def test_near_groups(spark, texts, monkeypatch, limit):
     assert [i for i in got if got[i] != want[i]] == []
 
 
+def sketch(text):
+    data, offsets = words.buffers(pa.array([text]))
+    (s,) = words.shingle_sets(data, offsets, 2)
+    regs = near_dedup.registers([s])
+    return len(s), regs[0], near_dedup.band_keys(regs)[0]
+
+
+@pytest.mark.parametrize("members", [1024, 2])
+def test_near_groups_of_shared_passages(spark, monkeypatch, members):
+    """Linked texts, each of whose common bands has a smaller id, of a text that shares passages only."""
+    monkeypatch.setattr(near_dedup, "BAND_MEMBERS", members, raising=False)
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**9)}" for _ in range(480)]
+    pair = {5000: " ".join(base), 6000: " ".join([*base, *(f"e{i}" for i in range(100))])}
+    both = [sketch(t) for t in pair.values()]
+    bands, texts = set(both[0][2].tolist()) & set(both[1][2].tolist()), {}
+    while bands:
+        at, chosen = r.randrange(60), sorted(r.sample(range(8), 4))
+        text = " ".join([*(w for i in chosen for w in base[at + 60 * i : at + 60 * i + 60]), *(f"o{r.randrange(10**9)}" for _ in range(30))])
+        n, regs, keys = sketch(text)
+        far = all(near_dedup.corrected((regs == x).sum(), n, m) < near_dedup.ESTIMATE for m, x, _ in both)
+        if far and bands & set(keys.tolist()):
+            bands -= set(keys.tolist())
+            texts[len(texts)] = text
+    texts |= pair
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_groups(df, size=2).collect()}
+    want = brute_components(texts, 2)
+    assert want[6000][1] == want[5000][1] == got[6000][1]
+    assert got == want
+
+
+def test_near_labels():
+    r = np.random.default_rng(2)
+    regs = r.integers(0, 2, (60, near_dedup.REGISTERS)).astype(np.uint16) * r.integers(1, 4, (60, 1)).astype(np.uint16)
+    n, side = r.integers(50, 80, 60), r.integers(0, 2, 60)
+    for sides in (None, side):
+        parent = list(range(60))
+        for _ in range(60):
+            for i, j in itertools.combinations(range(60), 2):
+                est = near_dedup.corrected((regs[i] == regs[j]).sum(), n[i], n[j])
+                if est >= near_dedup.ESTIMATE and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and (sides is None or sides[i] != sides[j]):
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+        got = near_dedup.near_labels(regs, n, 80, sides)
+        assert len(set(parent)) > 1
+        assert {(i, j) for i, j in itertools.product(range(60), repeat=2) if parent[i] == parent[j]} == {(i, j) for i, j in itertools.product(range(60), repeat=2) if got[i] == got[j]}
+
+
 def test_near_query(spark, sf, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op7_minhash"](spark, sf).collect()}
     assert got == brute_components(texts, 2)
