@@ -327,52 +327,83 @@ def test_many_cells_join_by_shuffle(documents, monkeypatch):
 
 
 def brute_kneser_ney(counts, size):
-    """Interpolated modified Kneser-Ney of order 4 from a dictionary, straight from the definition."""
-    levels = [counts]
-    while len(next(iter(levels[0]))) > 1:
+    """Interpolated modified Kneser-Ney of the order of ``counts`` (by n-gram), straight from the definition."""
+    grams = [counts]
+    while len(next(iter(grams[0]))) > 1:
         lower = Counter()
-        for g in levels[0]:
+        for g in grams[0]:
             lower[g[1:]] += 1
-        levels.insert(0, lower)
-    cuts = []
-    for c in levels:
+        grams.insert(0, lower)
+    cuts, by_context = [], []
+    for c in grams:
         n = [max(1, sum(v == k for v in c.values())) for k in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1])
         cuts.append([0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))])
+        by_context.append({})
+        for x, v in c.items():
+            by_context[-1].setdefault(x[:-1], []).append(v)
 
     def p(g):
         if not g:
             return 1 / size
-        c, d = levels[len(g) - 1], cuts[len(g) - 1]
-        rest = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
-        lower = p(g[1:])
+        d, rest, lower = cuts[len(g) - 1], by_context[len(g) - 1].get(g[:-1]), p(g[1:])
         if not rest:
             return lower
-        total = sum(rest.values())
-        v = rest.get(g, 0)
-        return (v - d[min(v, 3)]) / total + sum(d[min(x, 3)] for x in rest.values()) / total * lower
+        v = grams[len(g) - 1].get(g, 0)
+        return (v - d[min(v, 3)]) / sum(rest) + sum(d[min(x, 3)] for x in rest) / sum(rest) * lower
 
     return p
 
 
-def test_kneser_ney():
-    r, n = random.Random(3), quality_lm.SIZE
-    counts = Counter(tuple(r.choices(range(4), k=4)) for _ in range(300))
-    dense = np.zeros((n,) * 4, np.int32)
-    for g, c in counts.items():
-        dense[g] = c
-    model = np.exp(quality_lm.kneser_ney(dense.ravel())).reshape((n,) * 4)
-    p = brute_kneser_ney(counts, n)
-    for g in [*itertools.product(range(5), repeat=4)][::7]:
-        assert math.isclose(model[g], p(g), rel_tol=1e-4)
-    assert abs(model.sum(-1) - 1).max() < 1e-4
-
-
-def test_ngram_codes():
-    codes, sizes = quality_lm.ngram_codes(["ab", "", "ABc1"])
-    n, a, b, c = quality_lm.SIZE, 1, 2, 3
-    seq = [[0, 0, 0, a], [0, 0, a, b], [0, 0, 0, a], [0, 0, a, quality_lm.CAPITAL], [0, a, quality_lm.CAPITAL, c], [a, quality_lm.CAPITAL, c, quality_lm.DIGIT]]
-    assert sizes.tolist() == [2, 0, 4] and codes.tolist() == [((x[0] * n + x[1]) * n + x[2]) * n + x[3] for x in seq]
+def spelt(text):
+    """Every n-gram that ends at a sign of the text."""
+    k = quality_lm.ORDER
+    text = " " * (k - 1) + re.sub("[\t\n\x0b\x0c\r]", " ", text)
+    return [text[i : i + k] for i in range(len(text) - k + 1)]
+
+
+def test_ngrams_of_slices():
+    """Stretches of any size give the same n-grams, also where an alphabet is too large for a long one."""
+    texts = ["a\tb c", "", "é語" * 9, "x" * 40, "".join(map(chr, range(0x4E00, 0x4E00 + 9000))), "end"]
+    want = Counter((i, g) for i, t in enumerate(texts) for g in spelt(t))
+    for size in (1, 3, 64, 1 << 20):
+        got = Counter()
+        for numbers, at, alphabet in quality_lm.slices(*quality_lm.signs(texts), size):
+            got.update(zip(at.tolist(), quality_lm.spell(numbers, alphabet), strict=True))
+        assert got == want
+
+
+@pytest.mark.parametrize("block", [1 << 25, 200])
+def test_quality_query_equals_brute_force(spark, block):
+    """Perplexities, thresholds and verdicts, over two scripts, in one block or many."""
+    r = random.Random(7)
+    docs = {i: " ".join("".join(r.choices("abcdé" if i % 2 else "абвг語", k=r.randrange(1, 5))) + r.choice(["", "", "\n"]) for _ in range(r.randrange(1, 30))) for i in range(60)} | {70: "", 71: "zz" * 200, 72: None, 73: "".join(map(chr, range(0x4E00, 0x5200)))}
+    good = [i for i in docs if i < 40]
+    rows = [(i, t, None if i == 5 else "xy"[i % 2]) for i, t in docs.items()]
+    found = quality_lm.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in good] + [(50, 0), (None, 1)], "doc_id long, quality int"), block=block).collect()
+    held = [i for i in good if zlib.crc32(str(i).encode()) % quality_lm.HELD_OUT == 0]
+    counts = Counter(g for i in good if i not in held for g in spelt(docs[i]))
+    p = brute_kneser_ney(counts, len({g[-1] for g in counts}) + 1)
+    want = {i: math.exp(-sum(math.log(p(g)) for g in spelt(t)) / len(t)) if t else None for i, t in docs.items()}
+    assert sorted(x.doc_id for x in found) == sorted(docs)
+    for x in found:
+        assert x.n_chars == len(docs[x.doc_id] or "") and (x.perplexity is None) == (want[x.doc_id] is None)
+        if x.perplexity:
+            assert math.isclose(x.perplexity, want[x.doc_id], rel_tol=1e-4)
+            own = sorted(want[i] for i in held if "xy"[i % 2] == x.lang) or sorted(want[i] for i in held)
+            limit = own[math.ceil(quality_lm.QUANTILE * len(own)) - 1] * quality_lm.MARGIN
+            assert math.isclose(x.threshold, limit, rel_tol=1e-4)
+        assert x.kept == (x.perplexity is not None and x.perplexity <= x.threshold)
+
+
+def test_model_grows(spark):
+    """No count is capped, and unknown scripts have n-grams of their own."""
+    one = spark.createDataFrame([("абв " * 50,), ("語文 " * 50,)], "text string")
+    top = {r.gram: r.n for r in quality_lm.levels(one)[-1].collect()}
+    assert top == Counter(g for t in ("абв " * 50, "語文 " * 50) for g in spelt(t))
+    many = quality_lm.levels(one)[:-1] + [spark.createDataFrame([("aaaaa", 2**40), ("aaaab", 2**40)], "gram string, n long")]
+    p = {r.gram: r.p for r in quality_lm.probabilities(spark.createDataFrame([("aaaaa",), ("aaaac",)], "gram string"), many).collect()}
+    assert abs(p["aaaaa"] - 0.5) < 1e-6
 
 
 def test_perplexity_tells_junk(spark):
