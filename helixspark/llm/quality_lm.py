@@ -59,6 +59,9 @@ def slices(found: np.ndarray, owner: np.ndarray, size: int = SLICE) -> Iterator[
     Numbers are exact, to the base of the size of the stretch's alphabet; stretches with too many letters for that are halved.
     """
     for a in range(0, len(found), size):
+        inside = owner[a : a + size]
+        if (inside < 0).all():
+            continue
         part = found[max(0, a - ORDER + 1) : a + size]
         met = np.zeros(0x110000, bool)
         met[part] = True
@@ -69,7 +72,6 @@ def slices(found: np.ndarray, owner: np.ndarray, size: int = SLICE) -> Iterator[
             inner[: a - b] = -1
             yield from slices(found[b : a + size], inner, size // 2)
             continue
-        inside = owner[a : a + size]
         place = np.zeros(0x110000, np.int64)
         place[alphabet] = np.arange(len(alphabet))
         dense = place[part]
