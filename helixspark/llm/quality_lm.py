@@ -27,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.session import cut, release, ship, table
+from helixspark.session import cut, discard, release, scratch, ship, stored, table
 
-ORDER = 5
+ORDER = 4
 #: Of the trusted documents one in so many sets thresholds instead of counts.
 HELD_OUT = 5
 #: A document is kept up to MARGIN times this quantile of the held-out trusted documents' perplexity.
@@ -249,10 +249,14 @@ def score(docs: DataFrame, own: list[DataFrame], block: int = BLOCK) -> DataFram
     # dealt by block before the cut, so that the texts don't move again when they meet their answers
     blocks = cut(rows.mapInArrow(lambda batches: _pack(batches, block), BLOCKS).repartition("block"))
     release(docs.sparkSession)
-    wanted = cut(blocks.mapInArrow(_wanted, "block long, gram string"))
+    path = scratch(docs.sparkSession, "wanted")
+    wanted = stored(blocks.mapInArrow(_wanted, "block long, gram string"), path)
     p = probabilities(cut(wanted.select("gram").distinct()), own)
+    release(docs.sparkSession)
     answers = wanted.join(p, "gram").select("block", "gram", F.log("p").cast("float").alias("log_p"))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b), "doc_id long, lang string, n_chars long, perplexity double")
+    found = cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b), "doc_id long, lang string, n_chars long, perplexity double"))
+    discard(docs.sparkSession, path)
+    return found
 
 
 def _held_out(id_: Column) -> Column:
@@ -279,7 +283,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         side = (good if both else good.where(F.col("held") == F.lit(held))).select("doc_id")
         return rows.join(F.broadcast(side) if n <= MAX_BROADCAST else side, "doc_id", "left_semi")
 
-    scored = cut(score(docs, levels(trusted(docs, False)), block))
+    scored = score(docs, levels(trusted(docs, False)), block)
     at = F.percentile_approx("perplexity", quantile, 10_000) * MARGIN
     own = trusted(scored, True).where("perplexity is not null")
     by_lang = cut(own.groupBy("lang").agg(at.alias("own")))

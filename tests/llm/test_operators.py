@@ -364,9 +364,9 @@ def spelt(text):
 
 def test_ngrams_of_slices():
     """Stretches of any size give the same n-grams, also where an alphabet is too large for a long one."""
-    texts = ["a\tb c", "", "é語" * 9, "x" * 40, "".join(map(chr, range(0x4E00, 0x4E00 + 9000))), "end"]
+    texts = ["a\tb c", "", "é語" * 9, "x" * 40, "".join(chr(c) for c in range(0x4E00, 0x4E00 + 60000) if not 0xD800 <= c < 0xE000), "end"]
     want = Counter((i, g) for i, t in enumerate(texts) for g in spelt(t))
-    for size in (1, 3, 64, 1 << 20):
+    for size in (3, 64, 1 << 20):
         got = Counter()
         for numbers, at, alphabet in quality_lm.slices(*quality_lm.signs(texts), size):
             got.update(zip(at.tolist(), quality_lm.spell(numbers, alphabet), strict=True))
@@ -401,9 +401,9 @@ def test_model_grows(spark):
     one = spark.createDataFrame([("абв " * 50,), ("語文 " * 50,)], "text string")
     top = {r.gram: r.n for r in quality_lm.levels(one)[-1].collect()}
     assert top == Counter(g for t in ("абв " * 50, "語文 " * 50) for g in spelt(t))
-    many = quality_lm.levels(one)[:-1] + [spark.createDataFrame([("aaaaa", 2**40), ("aaaab", 2**40)], "gram string, n long")]
-    p = {r.gram: r.p for r in quality_lm.probabilities(spark.createDataFrame([("aaaaa",), ("aaaac",)], "gram string"), many).collect()}
-    assert abs(p["aaaaa"] - 0.5) < 1e-6
+    many = quality_lm.levels(one)[:-1] + [spark.createDataFrame([("aaaa", 2**40), ("aaab", 2**40)], "gram string, n long")]
+    p = {r.gram: r.p for r in quality_lm.probabilities(spark.createDataFrame([("aaaa",), ("aaac",)], "gram string"), many).collect()}
+    assert abs(p["aaaa"] - 0.5) < 1e-6
 
 
 def test_perplexity_tells_junk(spark):
