@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.text import LOWER, UPPER, utf8
+from helixspark.llm.text import LOWER, UPPER, named, utf8
 from helixspark.session import cut, table
 
 #: (action, host, path)
@@ -30,8 +30,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: A level of the cascade has at most so many bits (32 MB); longer lists are looked up by a join.
-MAX_BITS = 1 << 28
+#: A filter has about so many bits at most (4 MB, 500,000 longs that one task puts in order); longer lists are dealt out to several cascades.
+MAX_BITS = 1 << 25
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -76,11 +76,13 @@ def _positions(key: Column, bits: int, hashes: int, salt: int) -> list[Column]:
     return [F.pmod(F.shiftright(a, 8) + F.lit(i) * F.shiftright(b, 8), F.lit(bits).cast("long")) for i in range(hashes)]
 
 
-def bloom(keys: DataFrame, n: int, wrong: float, salt: int) -> Level | None:
-    """A filter of the n rows of ``keys`` (column key); None if it would exceed MAX_BITS."""
-    bits = 64 * max(1, math.ceil(max(n, 1) * -math.log(wrong) / math.log(2) ** 2 / 64))
-    if bits > MAX_BITS:
-        return None
+def bits_for(n: int, wrong: float) -> int:
+    return 64 * max(1, math.ceil(max(n, 1) * -math.log(wrong) / math.log(2) ** 2 / 64))
+
+
+def bloom(keys: DataFrame, n: int, wrong: float, salt: int) -> Level:
+    """A filter of the n rows of ``keys`` (column key)."""
+    bits = bits_for(n, wrong)
     hashes = max(1, round(-math.log2(wrong)))
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), bits, hashes, salt))).alias("at"))
     set_ = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v"))
@@ -103,16 +105,43 @@ class Cascade:
         return inside
 
 
-def cascade(listed: DataFrame, universe: DataFrame, first_wrong: float = 0.01, next_wrong: float = 0.1) -> Cascade | None:
-    """Both tables have one column, key, without repeats. None if the list is too long for a filter."""
+@dataclass
+class Shards:
+    """A cascade for each part of the keys, by a hash of the key."""
+
+    parts: list[Cascade]
+
+    def contains(self, key: Column) -> Column:
+        inside = F.lit(False)
+        for i, part in enumerate(self.parts):
+            inside = F.when(_shard(key, len(self.parts)) == i, part.contains(key)).otherwise(inside)
+        return inside
+
+
+def _shard(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(n).cast("long"))
+
+
+def cascade(listed: DataFrame, universe: DataFrame, first_wrong: float = 0.01, next_wrong: float = 0.1) -> Cascade | Shards:
+    """Both tables have one column, key, without repeats. A list that needs more than MAX_BITS is dealt out to several cascades."""
     listed, universe = cut(listed), cut(universe)
-    levels: list[Level] = []
     n = listed.count()
+    shards = -(-bits_for(n, first_wrong) // MAX_BITS)
+    if shards == 1:
+        return _cascade(listed, universe, n, first_wrong, next_wrong)
+    parts = []
+    for i in range(shards):
+        own = _shard(F.col("key"), shards) == i
+        part = cut(listed.where(own))
+        parts.append(_cascade(part, universe.where(own), part.count(), first_wrong, next_wrong))
+    return Shards(parts)
+
+
+def _cascade(listed: DataFrame, universe: DataFrame, n: int, first_wrong: float, next_wrong: float) -> Cascade:
+    levels: list[Level] = []
     inside, outside = listed, universe
     while n:
         level = bloom(inside, n, next_wrong if levels else first_wrong, len(levels))
-        if level is None:
-            return None
         levels.append(level)
         wrong = outside.where(level.maybe(F.col("key")))
         if len(levels) == 1:
@@ -125,24 +154,18 @@ def cascade(listed: DataFrame, universe: DataFrame, first_wrong: float = 0.01, n
 
 def page_keys(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """All keys by which a page can be listed: its host, and its host with path."""
-    host, path = url_parts(F.col(url_col))
+    host, path = url_parts(named(url_col))
     parts = pages.select(host.alias("host"), path.alias("path")).where("host <> ''")
     return parts.select(F.explode(F.array("host", F.concat("host", "path"))).alias("key")).distinct()
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, listed. ``listed`` has the blocked keys in its column key."""
-    host, path = url_parts(F.col(url_col))
-    parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    host, path = url_parts(named(url_col))
+    parts = pages.select(named(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     keys = listed.select("key").where("key is not null").distinct()
     filters = cascade(keys, page_keys(pages, url_col))
-    page = F.concat("host", "path")
-    if filters is None:  # the list is beyond the bound: ordinary joins
-        marks = keys.withColumn("hit", F.lit(True))
-        parts = parts.join(marks.toDF("host", "by_host"), "host", "left").withColumn("page", page).join(marks.toDF("page", "by_page"), "page", "left")
-        inside = F.coalesce("by_host", "by_page", F.lit(False))
-    else:
-        inside = (F.col("host") != "") & (filters.contains(F.col("host")) | filters.contains(page))
+    inside = (F.col("host") != "") & (filters.contains(F.col("host")) | filters.contains(F.concat("host", "path")))
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     parts = parts.withColumn("listed", inside)
     return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
