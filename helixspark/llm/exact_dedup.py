@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixspark.llm.text import ascii_lower, utf8
-from helixspark.session import cut
+from helixspark.llm.text import ascii_lower, named, utf8, whole
+from helixspark.session import cut, table
 
 #: The broadcast holds at most so many digests of 32 bytes each.
 MAX_HEAVY = 2000
@@ -30,7 +30,7 @@ def digest(text: Column) -> Column:
 
 
 def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return cut(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row")))
+    return cut(docs.select(named(id_col).alias("doc_id"), digest(named(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row")))
 
 
 def heavy_winners(ids: DataFrame, max_heavy: int = MAX_HEAVY, tracked: int = TRACKED) -> DataFrame:
@@ -47,10 +47,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = _ids(docs, id_col, text_col)
     winners = heavy_winners(ids, max_heavy, tracked)
     heavy = ids.join(F.broadcast(winners), "digest")
-    by = W.partitionBy("digest")
-    light = ids.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "digest", "doc_id", "row", F.count(F.lit(1)).over(by).alias("group_size"), F.max(F.struct("doc_id", "row")).over(by).alias("winner")
-    )
+    light = ids.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    sizes = light.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("winner"))
+    light = light.join(sizes, "digest")
     return heavy.select(light.columns).unionByName(light).select(
         "doc_id",
         F.col("winner.doc_id").alias("keep_id"),
@@ -66,7 +65,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Frequent copies fall on the map side; of the rest whole rows are shuffled once, by digest.
     """
     winners = heavy_winners(_ids(docs, id_col, text_col), max_heavy, tracked)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"))
+    rows = docs.select(whole(docs).alias("doc"), named(id_col).alias("id"), digest(named(text_col)).alias("digest"))
     best = F.row_number().over(W.partitionBy("digest").orderBy(F.col("id").desc_nulls_last()))
     heavy = rows.join(F.broadcast(winners.select("digest", F.col("winner.doc_id").alias("keep"))), "digest").where(F.col("id").eqNullSafe(F.col("keep"))).drop("keep")
     light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
@@ -74,8 +73,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from helixspark.session import table
-
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
