@@ -1,9 +1,9 @@
 """Quality rules: per-document counts, then verdicts on hosts.
 
 Rule failures are added up by host. A host's failure rate is shrunk towards all hosts by a beta
-prior fitted to their rates by moments, so that small hosts aren't condemned on few documents.
-A host whose shrunk rate exceeds a threshold loses all its documents; the base rules drop
-single ones.
+prior fitted to their rates by moments, without what sampling adds to their spread, so that small
+hosts aren't condemned on few documents. A host whose own and shrunk rates exceed a threshold loses
+all its documents; the base rules drop single ones.
 
 Defined results: null text counts as empty and fails; a null host counts as the empty one;
 repeated rows are judged alike; an empty table gives an empty result.
@@ -19,14 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm import words
+from helixspark.llm.skew import join_hot
+from helixspark.llm.text import named
 from helixspark.session import cut, ship, table
 
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
 #: A document fails the further rules beyond this share of symbols in its word characters, or of repeated lines in its lines.
 MAX_SYMBOLS, MAX_DUP_LINES = 0.1, 0.3
-#: A host is dropped when its shrunk failure rate exceeds this.
+#: A host is dropped when its failure rate exceeds this, both its own and the shrunk one.
 HOST_RATE = 0.5
-#: The table of dropped hosts is broadcast up to so many rows, joined by a shuffle beyond.
+#: The documents that the prior weighs: so many at least, lest a few documents condemn a host, and at most.
+LEAST_STRENGTH, MOST_STRENGTH = 10.0, 1000.0
+#: The table of dropped hosts is broadcast up to so many rows, joined by a shuffle without hot keys beyond.
 MAX_BROADCAST = 200_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -81,23 +85,36 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_rates(judged: DataFrame) -> DataFrame:
     """host, n, failures, rate (shrunk by the beta prior) from rows with host and failed."""
     hosts = cut(judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failures")))
-    raw = F.col("failures") / F.col("n")
-    m, v = hosts.agg(F.avg(raw), F.var_pop(raw)).first()
-    m = min(max(m or 0.0, 1e-3), 1 - 1e-3)
-    strength = min(max(m * (1 - m) / v - 1, 1.0), 1000.0) if v else 1000.0
+    n, k, squares, groups = hosts.agg(F.sum("n"), F.sum("failures"), F.sum(F.col("n").cast("double") * F.col("n")), F.count(F.lit(1))).first()
+    m = min(max((k or 0) / (n or 1), 1e-3), 1 - 1e-3)
+    spread = hosts.agg(F.sum(F.col("n") * F.pow(F.col("failures") / F.col("n") - m, F.lit(2)))).first()[0]
+    strength = prior_strength(m, n or 0, squares or 0, groups, spread or 0)
     return hosts.withColumn("rate", (F.col("failures") + m * strength) / (F.col("n") + strength))
 
 
+def prior_strength(m: float, n: int, squares: float, groups: int, spread: float) -> float:
+    """How many documents the prior weighs, by moments of the beta-binomial distribution.
+
+    ``spread`` is the sum of n (rate - m)^2 over hosts. What sampling alone would give, (groups - 1) m (1 - m),
+    is taken out; only what is left tells how much hosts differ.
+    """
+    sampling = m * (1 - m) * (groups - 1)
+    room = m * (1 - m) * (n - squares / n - (groups - 1)) if n else 0.0
+    alike = (spread - sampling) / room if room > 1e-9 else 0.0
+    return min(max(1 / alike - 1, LEAST_STRENGTH), MOST_STRENGTH) if alike > 0 else MOST_STRENGTH
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, rules_failed, host_rate_failed, kept."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(host_col).cast("string"), F.lit("")).alias("host"), named(text_col).alias("text"))
     rows = rows.mapInArrow(_counted, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     more = base | (F.col("n_symbols") > MAX_SYMBOLS * F.col("word_chars")) | (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines"))
     judged = cut(rows.withColumn("base_failed", base).withColumn("failed", more))
-    bad = cut(host_rates(judged).where(F.col("rate") > host_rate).select("host", F.lit(True).alias("bad")))
-    found = judged.join(F.broadcast(bad) if bad.count() <= MAX_BROADCAST else bad, "host", "left")
+    over = (F.col("rate") > host_rate) & (F.col("failures") > host_rate * F.col("n"))
+    bad = cut(host_rates(judged).where(over).select("host", F.lit(True).alias("bad")))
+    found = judged.join(F.broadcast(bad), "host", "left") if bad.count() <= MAX_BROADCAST else join_hot(judged, bad, ["host"], "left")
     bad_host = F.coalesce("bad", F.lit(False))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed").alias("rules_failed"), bad_host.alias("host_failed"), (~F.col("base_failed") & ~bad_host).alias("kept"))
 
@@ -117,9 +134,10 @@ c as (select doc_id, host, len(w) as n_words, length(regexp_replace(text, '[\x20
 b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words as base_failed from c),
 f as (select *, base_failed or n_symbols > {MAX_SYMBOLS}::double * word_chars or n_dup_lines > {MAX_DUP_LINES}::double * n_lines as rules_failed from b),
 h as (select host, count(*) as n, sum(rules_failed::int) as k from f group by host),
-p as (select least(greatest(avg(k / n), 1e-3), 1 - 1e-3) as m, var_pop(k / n) as v from h),
-s as (select m, case when v > 0 then least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) else 1000.0 end as strength from p),
-bad as (select host from h, s where (k + m * strength) / (n + strength) > {HOST_RATE})
+t0 as (select least(greatest(sum(k) / sum(n), 1e-3), 1 - 1e-3) as m, sum(n) as total, sum(n::double * n) as squares, count(*) as hosts from h),
+t1 as (select m, sum(n * pow(k / n - m, 2)) - m * (1 - m) * (any_value(hosts) - 1) as above, m * (1 - m) * (any_value(total) - any_value(squares) / any_value(total) - (any_value(hosts) - 1)) as room from h, t0 group by m),
+s as (select m, case when room > 1e-9 and above > 0 then least(greatest(room / above - 1, {LEAST_STRENGTH}), {MOST_STRENGTH}) else {MOST_STRENGTH} end as strength from t1),
+bad as (select host from h, s where (k + m * strength) / (n + strength) > {HOST_RATE} and k > {HOST_RATE} * n)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed, rules_failed,
        host in (select host from bad) as host_failed, not base_failed and host not in (select host from bad) as kept from f
 """
