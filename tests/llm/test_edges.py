@@ -90,7 +90,7 @@ def test_pages(spark):
         assert [(found[i].host, found[i].path, found[i].rule, found[i].verdict) for i in (1, 4)] == [("", "", None, "allow"), ("h.com", "/de/1", "com/de/", "block")]
         assert (found[3].host, found[3].path, found[3].rule, found[5].verdict) == ("a.org", "", None, "allow")
     got = sorted(warc.write_and_read(pages, scratch(spark, "w")).collect(), key=lambda r: str(r.page_id))
-    assert len(got) == 7  # the repeated row is one capture
+    assert len(got) == 8 and [(r.record_type, r.refers_to) for r in got if r.page_id == 6] == [("response", None)] * 2  # each repeated row has its record
     by = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in got}
     assert by[1] == (0, "revisit", 6) and by[6] == (0, "response", None) and by[None] == (3, "revisit", 3) and by[4] == (100_000, "response", None)
     empty = pages.where(F.lit(False))

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -70,13 +71,15 @@ def test_cascade_is_exact(spark):
     assert all(hit == k.startswith("k1") for k, hit in got.items())
 
 
-def test_long_lists_use_joins(spark, monkeypatch):
-    pages = spark.createDataFrame([(1, "http://a.b.net/x"), (2, "http://c.net/y"), (3, "http://c.net/z")], "page_id long, url string")
-    listed = spark.createDataFrame([("a.b.net",), ("c.net/y",)], "key string")
-    want = {1: "block", 2: "block", 3: "allow"}
-    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, listed).collect()} == want
-    monkeypatch.setattr(url_filter, "MAX_BITS", 1)
-    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, listed).collect()} == want
+def test_long_lists_are_dealt_out(spark, monkeypatch):
+    """Lists beyond the bound of one filter go to several cascades, which are exact too."""
+    universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    listed = universe.where("key like 'k1%'").unionByName(spark.createDataFrame([("elsewhere",)], "key string"))
+    monkeypatch.setattr(url_filter, "MAX_BITS", 4096)
+    found = url_filter.cascade(listed, universe)
+    assert len(found.parts) > 2
+    got = {r.key: r.hit for r in universe.select("key", found.contains(F.col("key")).alias("hit")).collect()}
+    assert all(hit == k.startswith("k1") for k, hit in got.items())
 
 
 # ---- personal data
@@ -159,13 +162,30 @@ def test_bpe_equals_tiktoken(spark, sf, texts):
 # ---- WARC
 
 
-def test_archives(spark):
+def test_warc_query_equals_sql_on_repeated_rows(spark, tmp_path):
+    """Repeated rows, null ids and payloads, and one payload that many pages share."""
+    rows = [(1, "a://b/", "x"), (1, "a://b/", "x"), (2, "a://c/", "x"), (2, "a://d/", "x"), (2, "a://d/", "x"), (None, "a://e/", "x"), (None, "a://f/", "y"), (None, "a://f/", "y"), (4, None, None), (5, "u", "")] + [(100 + i, "a://g/", "z") for i in range(300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["op5_warc"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(warc.OP5_SQL)
+    assert Counter(map(tuple, got.select(want.columns).collect())) == Counter(want.fetchall())
+    assert len(rows) == sum(Counter(want.fetchall()).values())
+
+
+def test_archives(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "http://h.org/a?q", "<p>\r\n\r\nx</p>"), (2, "http://h.org/", "<p>\r\n\r\nx</p>"), (3, None, "y")], "page_id long, url string, html string")
     path = scratch(spark, "w")
     warc.write_archives(pages, path)
     captures = {r.page_id: r for r in warc.assemble(warc.read_archives(spark, path)).collect()}
     assert bytes(captures[2].response.payload) == b"<p>\r\n\r\nx</p>" and captures[1].response.kind == "revisit" and captures[1].refers_to == 2
     assert captures[1].request.target_uri == "http://h.org/a?q" and captures[3].response.target_uri is None
+    monkeypatch.setattr(warc, "MAX_BROADCAST", 0)  # the same where winners are joined by a shuffle
+    warc.write_archives(pages, path + "3")
+    again = {r.page_id: r for r in warc.assemble(warc.read_archives(spark, path + "3")).collect()}
+    assert {i: (r.response.kind, r.refers_to) for i, r in again.items()} == {i: (r.response.kind, r.refers_to) for i, r in captures.items()}
+    assert captures[1].response.refers_to == captures[2].record_id
     warc.write_archives(pages, path + "2", least=100)
     assert {r.response.kind for r in warc.assemble(warc.read_archives(spark, path + "2")).collect()} == {"response"}
 
@@ -432,13 +452,33 @@ def test_rules_query(spark, sf, texts):
 def test_host_rates(spark):
     rows = [("bad", True)] * 90 + [("bad", False)] * 10 + [("good", False)] * 95 + [("good", True)] * 5 + [("new", True)]
     rates = {r.host: r.rate for r in quality_rules.host_rates(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
-    assert rates["good"] < rates["new"] < 1 and rates["bad"] > quality_rules.HOST_RATE
+    assert rates["good"] < rates["new"] < rates["bad"] and rates["bad"] > quality_rules.HOST_RATE
+    alone = spark.range(900).select(F.concat(F.lit("h"), "id").alias("host"), (F.col("id") % 3 == 0).alias("failed"))
+    assert quality_rules.host_rates(alone).where(F.col("rate") > quality_rules.HOST_RATE).count() == 0  # one document tells nothing of a host
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
     docs = [(i, "junk", "bad") for i in range(200)] + [(500, text, "bad"), (501, text, "ok")] + [(600 + i, text + f" {i}", "ok") for i in range(200)]
     kept = {r.doc_id for r in quality_rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect() if r.kept}
     assert 500 not in kept and 501 in kept and len(kept) == 201
 
 
+def test_rules_query_equals_sql_with_failing_hosts(spark, tmp_path):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randrange(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    docs = []
+    for host, n, share in (("bad", 60, 0.9), ("poor", 40, 0.6), ("mixed", 50, 0.4), ("good", 400, 0.05), ("tiny", 2, 1.0), (None, 30, 0.95)):
+        docs += [(len(docs) + i, r.choice([text(5), "ab " * 60, text(30) + " #" * 90, None, "\n".join(["a line"] * 30)]) if r.random() < share else text(40), host) for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op10_quality_rules"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(quality_rules.OP10_SQL)
+    rows = sorted(map(tuple, got.select(want.columns).collect()))
+    assert rows == sorted(want.fetchall())
+    hosts = {d[2] for d, x in zip(sorted(docs, key=lambda d: d[0]), rows, strict=True) if x[want.columns.index("host_failed")]}
+    assert {"bad", None} <= hosts and not hosts & {"good", "tiny", "mixed"}
+
+
 # ---- words
 
 
