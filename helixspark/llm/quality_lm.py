@@ -173,7 +173,7 @@ def probabilities(wanted: DataFrame, own: list[DataFrame]) -> DataFrame:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    task, codec, number = TaskContext.get().partitionId(), pa.Codec("zstd", 3), 0
+    task, codec, number = TaskContext.get().partitionId(), pa.Codec("zstd", 9), 0
     ids: list = []
     langs: list = []
     texts: list[str] = []
@@ -246,8 +246,7 @@ def _scored(block: pa.Table, answers: pa.Table) -> pa.Table:
 def score(docs: DataFrame, own: list[DataFrame], block: int = BLOCK) -> DataFrame:
     """doc_id, lang, n_chars, perplexity of every document (doc_id, lang, text) under the model of ``levels``."""
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    # dealt by block before the cut, so that the texts don't move again when they meet their answers
-    blocks = cut(rows.mapInArrow(lambda batches: _pack(batches, block), BLOCKS).repartition("block"))
+    blocks = cut(rows.mapInArrow(lambda batches: _pack(batches, block), BLOCKS))
     release(docs.sparkSession)
     path = scratch(docs.sparkSession, "wanted")
     wanted = stored(blocks.mapInArrow(_wanted, "block long, gram string"), path)
