@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is two ordinary aggregations and joins; the edges are cut in the shared folder each
-round, whose shuffle files then go, and nothing but a count and a checksum reaches the driver.
+Every step is an aggregation and a join whose hot keys are broadcast; the edges are cut in the shared
+folder each round, whose shuffle files then go, and nothing but a count and a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -9,20 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixspark.llm.skew import hot_keys, join_hot
 from helixspark.session import cut, release
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """a, m, k: of each node with smaller neighbours the smallest one, and how many there are."""
+    return cut(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    """Links the greater end of each edge to the smallest neighbour of the smaller end, or to that end."""
+    low = _least(edges).select(F.col("a").alias("b"), "m")
+    return join_hot(edges, low, ["b"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-    return linked.where("a <> b").distinct()
+    """Links each node and its smaller neighbours to the smallest of them."""
+    low = _least(edges)
+    linked = join_hot(edges, low.select("a", "m"), ["a"], heavy=hot_keys(low, ["a"])).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return linked.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -34,6 +40,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(cut(_large_star(edges))))
         release(edges.sparkSession)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 
 from helixspark.llm import words
 from helixspark.llm.components import connected_components
+from helixspark.llm.skew import join_hot
+from helixspark.llm.text import named, whole
 from helixspark.session import cut, release, ship, table
 
 BUCKET_BITS, MANTISSA = 7, 10
 REGISTERS = 1 << BUCKET_BITS
 BANDS, ROWS = 32, 4
 #: The least corrected estimate at which two classes stay in one cluster.
-ESTIMATE = 0.5
+ESTIMATE = 0.6
 #: A cluster is decided in one task up to so many members and shingles.
 MAX_MEMBERS, MAX_SHINGLES = 512, 1_000_000
 PIVOTS = 8
@@ -217,14 +219,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, n_shingles, component_id, kept. ``size``: words in a shingle."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     sketches = cut(rows.mapInArrow(_sketches(size), SKETCH))
     key = ["n", "set_a", "set_b"]
-    named = sketches.where("n > 0 and doc_id is not null")
-    classes = cut(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("bands").alias("bands")))
+    texts = sketches.where("n > 0 and doc_id is not null")
+    classes = cut(texts.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("bands").alias("bands")))
     # rows with one id are one node: the smallest id stands for a class, so such ids link their classes
-    twice = cut(named.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).where("x <> y").select("doc_id"))
-    same = named.join(twice, "doc_id").join(classes.select(*key, "rep"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    twice = cut(texts.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).where("x <> y").select("doc_id"))
+    same = texts.join(twice, "doc_id").join(classes.select(*key, "rep"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     release(spark)
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
@@ -234,7 +236,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(spark)
     degree = pairs.groupBy(F.col("b").alias("doc_id")).agg(F.sum("k").alias("degree"))
     own = classes.select("rep", F.col("n").alias("n"), "registers")
-    compared = pairs.where("a <> b").select("a", "b").join(own.toDF("a", "n_a", "regs_a"), "a").join(own.toDF("b", "n_b", "regs_b"), "b")
+    compared = join_hot(pairs.where("a <> b").select("a", "b"), own.toDF("a", "n_a", "regs_a"), ["a"]).join(own.toDF("b", "n_b", "regs_b"), "b")
     star = cut(compared.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_estimates, "a long, b long, estimate double"))
     near = star.where(F.col("estimate") >= ESTIMATE).select("a", "b")
     # members that aren't near their band's smallest may be near any other of the band
@@ -247,7 +249,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = links.unionByName(same)
     components = connected_components(links).toDF("rep", "component")
     node = classes.select(*key, "rep").join(components, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    found = sketches.join(node, key, "left")
+    found = join_hot(sketches, node, key, "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -272,7 +274,7 @@ def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, degree:
     members = cut(clusters.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("k") / F.lit(MAX_MEMBERS), F.col("shingles") / F.lit(MAX_SHINGLES))).cast("int")
-    members = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
+    members = cut(join_hot(members, sizes.select("cluster", blocks.alias("blocks")), ["cluster"]))
     wanted = members.select("doc_id")
     wanted = F.broadcast(wanted) if members.count() <= MAX_BROADCAST else wanted
     sets = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, shingles array<long>")
@@ -297,7 +299,7 @@ def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, degree:
     # what isn't in the largest part of its cluster meets every block
     parts = large.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    apart = large.join(main, "cluster").where("label <> main").drop("main")
+    apart = join_hot(large, cut(main), ["cluster"]).where("label <> main").drop("main")
     homes = cut(apart.select("cluster", F.col("block").alias("from")).distinct())
     homes = F.broadcast(homes) if homes.count() <= MAX_BROADCAST else homes
     asked = apart.select("cluster", F.col("block").alias("from"), _every_block(), *columns)
@@ -311,7 +313,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The documents, whole, one of each group of near copies: that with the smallest id."""
     dropped = cut(near_groups(docs, id_col, text_col, size, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct())
     dropped = F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST else dropped
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"))
+    rows = docs.select(whole(docs).alias("doc"), named(id_col).cast("long").alias("id"))
     return rows.join(dropped, rows["id"] == dropped["gone"], "left_anti").select("doc.*")
 
 

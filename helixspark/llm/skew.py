@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from helixspark.session import cut
 
-#: A key is hot with over one in so many of all rows; hence there are fewer hot keys than that.
-HOT = 2000
+#: A key is hot with over one in so many of all rows, and so many rows at least; hence there are fewer hot keys than HOT.
+HOT, LEAST_ROWS = 2000, 200
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "k", hot: int = HOT) -> DataFrame:
-    """The keys with over one in ``hot`` of all rows, from one row a key with its number of rows ``n``; fewer than ``hot`` rows."""
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "k") -> DataFrame:
+    """The hot keys, fewer than HOT, from one row a key with its number of rows ``n``."""
     total = counts.agg(F.sum(n)).first()[0] or 0
-    return cut(counts.where(F.col(n) * hot > total).select(*keys))
+    return cut(counts.where((F.col(n) * HOT > total) & (F.col(n) >= LEAST_ROWS)).select(*keys))
 
 
 def join_hot(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
@@ -28,6 +28,8 @@ def join_hot(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str =
     keys = list(keys)
     if heavy is None:
         heavy = hot_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")), keys)
+    if heavy.isEmpty():
+        return rows.join(other, keys, how)
     few = F.broadcast(cut(other.join(F.broadcast(heavy), keys, "left_semi")))
     hot = rows.join(F.broadcast(heavy), keys, "left_semi").join(few, keys, how)
     rest = rows.join(F.broadcast(heavy), keys, "left_anti").join(other, keys, how)
