@@ -3,9 +3,10 @@
 The patterns find e-mail addresses, IP addresses, card and phone numbers. The CRF labels the
 tokens around anything that has a digit or an at sign (or a spelt-out one) from word shapes; it is
 trained by likelihood on a small table of labelled sentences and decoded by Viterbi over padded numpy
-batches. Its spans are added where no pattern's span lies; the patterns' spans stay.
-Tokens further than REACH from any such token can only be plain text, so decoding the
-neighbourhoods is decoding the whole text.
+batches. Its spans are added where no pattern's span lies; the patterns' spans stay. Card numbers that it
+adds pass Luhn, and other digits must be as many as their kind has.
+Tokens further than REACH from any such token can only be plain text, so neighbourhoods are decoded,
+with the features that their tokens have in the whole text; tests hold this against decoding whole texts.
 
 Defined results: null counts as empty and has no spans; repeated rows repeat; an empty table gives
 an empty result; other columns don't matter.
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm import words
+from helixspark.llm.text import named
 from helixspark.session import ship, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -83,19 +85,27 @@ def base_spans(text: str) -> list[Span]:
 _TOKEN = re.compile(r"\S+")
 _SIGNAL = re.compile(r"[0-9@]|[\[(]at[\])]|[\[(]dot[\])]", re.IGNORECASE)
 _RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^\x00-\x7F]+|.", re.DOTALL)
+_AGAIN = re.compile(r"(.{1,4})\1+", re.DOTALL)
 # Words beside personal data.
 CUES = frozenset("at dot email e-mail mail contact write tel tel. phone call mobile fax number card visa mastercard credit account ip host server address from login order invoice page version date total price item".split())
 
 
 def shape(token: str) -> tuple[str, str]:
-    """Word shape with the lengths of digit runs, and without any."""
+    """Word shape of the whole token with the lengths of digit runs, and without any. Repeated parts of long shapes stand once."""
     fine, coarse = [], []
-    for run in _RUNS.findall(token[:64]):
+    for run in _RUNS.findall(token):
         c = run[0]
         kind = "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "9" if "0" <= c <= "9" else "u" if c > "\x7f" else c
         fine.append(f"9{min(len(run), 20)}" if kind == "9" else kind)
         coarse.append(kind)
-    return "".join(fine), "".join(coarse)
+    a, b = "".join(fine), "".join(coarse)
+    return (a, b) if len(coarse) <= 40 else (_AGAIN.sub(r"\1", a), _AGAIN.sub(r"\1", b))
+
+
+def _card_like(token: str) -> str:
+    """Whether a token of as many digits as a card has passes Luhn."""
+    digits = "".join(_DIGIT.findall(token))
+    return str(luhn(digits)) if 14 <= len(digits) <= 19 else ""
 
 
 def token_features(tokens: Sequence[str]) -> list[list[str]]:
@@ -104,7 +114,7 @@ def token_features(tokens: Sequence[str]) -> list[list[str]]:
     cues = [c if (c := t.strip(".,:;()[]").lower()) in CUES else "" for t in tokens]
     out = []
     for i, t in enumerate(tokens):
-        f = ["s:" + shapes[i][0], "c:" + shapes[i][1], "d:" + str(min(sum(c.isdigit() for c in t), 20)), "@" if "@" in t else "-@", "k:" + cues[i]]
+        f = ["s:" + shapes[i][0], "c:" + shapes[i][1], "d:" + str(min(sum(c.isdigit() for c in t), 20)), "@" if "@" in t else "-@", "k:" + cues[i], "v:" + _card_like(t)]
         for k, name in ((-1, "l"), (1, "r"), (-2, "ll"), (2, "rr")):
             j = i + k
             inside = 0 <= j < len(tokens)
@@ -135,15 +145,22 @@ def labelled_table(n: int = 480, seed: int = 7) -> list[list[tuple[str, str]]]:
         return str(r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"00{digits(2)} {a} {b}{c}"]))
 
     def card() -> str:
-        p = [digits(4) for _ in range(4)]
+        number = digits(15)
+        number += next(c for c in "0123456789" if luhn(number + c))
+        p = [number[i : i + 4] for i in range(0, 16, 4)]
         return str(r.choice([" ".join(p), "-".join(p), "".join(p), ".".join(p)]))
 
+    def not_a_card() -> str:
+        while luhn(number := digits(16)):
+            pass
+        return str(r.choice([number, "-".join(number[i : i + 4] for i in range(0, 16, 4))]))
+
     def ip() -> str:
         p = [str(x) for x in r.integers(1, 255, 4)]
         return str(r.choice([".".join(p), f"{'.'.join(p)}:{digits(4)}", "[.]".join(p)]))
 
     def plain() -> str:
-        return str(r.choice([digits(r.integers(1, 6)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"${digits(2)}.{digits(2)}", f"{word()}{digits(2)}", f'token = "{hexed(40)}"', f"password={hexed(18)}", f"key-{hexed(24)}", f"{digits(2)}:{digits(2)}", f"/{word()}/{digits(5)}", f"{digits(3)},{digits(3)}", f"#{digits(6)}", f"{digits(12)}", f"@{word()}"]))
+        return str(r.choice([digits(r.integers(1, 6)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"${digits(2)}.{digits(2)}", f"{word()}{digits(2)}", f'token = "{hexed(40)}"', f"password={hexed(18)}", f"key-{hexed(24)}", f"{digits(2)}:{digits(2)}", f"/{word()}/{digits(5)}", f"{digits(3)},{digits(3)}", f"#{digits(6)}", f"{digits(12)}", f"@{word()}", not_a_card(), not_a_card()]))
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
     cues = {"email": ("mail", "contact", "write"), "ip": ("ip", "from", "host"), "card": ("card", "visa", "account"), "phone": ("call", "phone", "tel")}
@@ -169,12 +186,12 @@ class Crf:
     emit: np.ndarray
     move: np.ndarray
 
-    def scores(self, tokens: Sequence[str]) -> np.ndarray:
+    def scores(self, features: Sequence[list[str]]) -> np.ndarray:
         get = self.names.get
-        return np.array([self.emit[[k for f in x if (k := get(f)) is not None]].sum(0) for x in token_features(tokens)], np.float64).reshape(-1, len(LABELS))
+        return np.array([self.emit[[k for f in x if (k := get(f)) is not None]].sum(0) for x in features], np.float64).reshape(-1, len(LABELS))
 
-    def decode(self, rows: Sequence[Sequence[str]]) -> list[np.ndarray]:
-        """Labels of token sequences, Viterbi over batches of like length."""
+    def decode(self, rows: Sequence[Sequence[list[str]]]) -> list[np.ndarray]:
+        """Labels of sequences of tokens' features, Viterbi over batches of like length."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(rows)
         order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
         for a in range(0, len(order), 512):
@@ -257,30 +274,41 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def _plausible(kind: str, text: str) -> bool:
-    n = len(_DIGIT.findall(text))
-    return "@" in text or bool(_SIGNAL.search(text)) and "at" in text.lower() if kind == "email" else _DIGITS[kind][0] <= n <= _DIGITS[kind][1] and not _LETTER.search(text)
+    if kind == "email":
+        return "@" in text or bool(_SIGNAL.search(text)) and "at" in text.lower()
+    digits = "".join(_DIGIT.findall(text))
+    if kind == "card" and not luhn(digits):
+        return False
+    return _DIGITS[kind][0] <= len(digits) <= _DIGITS[kind][1] and not _LETTER.search(text)
 
 
-def neighbourhoods(text: str) -> list[list[tuple[int, int]]]:
-    """Places of the tokens within REACH of a signal, in runs."""
+def neighbourhoods(text: str, reach: int | None = REACH) -> list[tuple[list[tuple[int, int]], list[list[str]]]]:
+    """Places and features of the tokens within ``reach`` of a signal, in runs; with None, of all tokens in one."""
     if not _SIGNAL.search(text):
         return []
     places = [m.span() for m in _TOKEN.finditer(text)]
+    if reach is None:
+        return [(places, token_features([text[a:b] for a, b in places]))]
     starts = np.array([a for a, _ in places])
     near = np.zeros(len(places) + 1, int)
     for m in _SIGNAL.finditer(text):
         k = int(np.searchsorted(starts, m.start(), "right")) - 1
-        near[max(0, k - REACH)] += 1
-        near[min(len(places), k + REACH + 1)] -= 1
-    inside = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-    return [[places[k] for k in run] for run in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1) if len(run)]
+        near[max(0, k - reach)] += 1
+        near[min(len(places), k + reach + 1)] -= 1
+    inside, out = np.flatnonzero(np.cumsum(near)[:-1] > 0), []
+    for run in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1):
+        if len(run):
+            low, high = max(0, run[0] - 2), min(len(places), run[-1] + 3)  # features look two tokens aside
+            found = token_features([text[a:b] for a, b in places[low:high]])
+            out.append((places[run[0] : run[-1] + 1], found[run[0] - low : run[-1] + 1 - low]))
+    return out
 
 
-def added_spans(texts: Sequence[str], base: Sequence[list[Span]], crf: Crf) -> list[list[Span]]:
+def added_spans(texts: Sequence[str], base: Sequence[list[Span]], crf: Crf, reach: int | None = REACH) -> list[list[Span]]:
     """For each text the CRF's spans that lie beside all of the patterns'."""
-    runs = [(i, run) for i, t in enumerate(texts) for run in neighbourhoods(t)]
+    runs = [(i, *run) for i, t in enumerate(texts) for run in neighbourhoods(t, reach)]
     found: list[list[Span]] = [[] for _ in texts]
-    for (i, run), labels in zip(runs, crf.decode([[texts[i][a:b] for a, b in run] for i, run in runs]), strict=True):
+    for (i, run, _), labels in zip(runs, crf.decode([features for _, _, features in runs]), strict=True):
         k = 0
         while k < len(run):
             j = k
@@ -318,7 +346,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 out = pa.array([[dict(zip(("start", "end", "kind", "added"), s, strict=True)) for s in r] for r in rows], pa.list_(span))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), out], ["doc_id", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, spans array<struct<start: long, end: long, kind: string, added: boolean>>")
 
 

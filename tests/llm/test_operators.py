@@ -108,9 +108,13 @@ def test_base_spans(texts):
 def test_crf_adds_what_patterns_miss(spark):
     crf = pii.train(pii.labelled_table())
     held_out = pii.labelled_table(200, seed=99)
-    found = crf.decode([[t for t, _ in row] for row in held_out])
+    found = crf.decode([pii.token_features([t for t, _ in row]) for row in held_out])
     right = sum(pii.LABELS[x] == k for row, path in zip(held_out, found, strict=True) for (_, k), x in zip(row, path, strict=True))
     assert right > 0.97 * sum(map(len, held_out))
+    pairs = [(k, pii.LABELS[x]) for row, path in zip(held_out, found, strict=True) for (_, k), x in zip(row, path, strict=True)]
+    for kind in pii.KINDS:  # of each kind
+        both, said, true = (sum(f(p) for p in pairs) for f in (lambda p, k=kind: p == (k, k), lambda p, k=kind: p[1] == k, lambda p, k=kind: p[0] == k))
+        assert both > 0.9 * said and both > 0.9 * true, (kind, both, said, true)
     text = "write to nase.77 [at] mail6.example (dot) com or call (608) 555-0659 by 2020-01-02, page 12345; a@b.org"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     spans = [(s.kind, text[s.start : s.end], s.added) for s in pii.find_spans(df).first().spans]
@@ -118,12 +122,28 @@ def test_crf_adds_what_patterns_miss(spark):
     assert pii.mask("x a@b.org y", [(2, 9, "email")]) == "x <email> y"
 
 
+def test_added_spans_of_neighbourhoods():
+    """They are those of whole texts, no card among them fails Luhn, and long tokens have a shape of all their signs."""
+    pd = pytest.importorskip("pandas")
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["text"]).text.fillna("").tolist()
+    docs += ["x" * 80 + " 4111.1111.1111.1111 and 4111.1111.1111.1112", "call (608) 555-0659 or 1234567812345678", "nase.77 [at] mail6.example (dot) com"]
+    crf = pii.train(pii.labelled_table())
+    base = [pii.base_spans(t) for t in docs]
+    near, full = pii.added_spans(docs, base, crf), pii.added_spans(docs, base, crf, None)
+    assert near == full
+    added = [(k, t[a:b]) for t, spans in zip(docs, near, strict=True) for a, b, k in spans]
+    assert all(pii.luhn("".join(re.findall("[0-9]", x))) for k, x in added if k == "card")
+    assert ("card", "4111.1111.1111.1111") in added and ("phone", "(608) 555-0659") in added
+    assert pii.shape("ab1" * 60 + "@x9") != pii.shape("ab1" * 60) and len(pii.shape("a1" * 5000)[0]) < 40
+    assert len(added) < 0.05 * sum(map(len, base)) + 10  # few, as the patterns catch nearly all
+
+
 def test_viterbi_is_exact():
     r = np.random.default_rng(0)
     crf = pii.Crf({}, np.zeros((1, 5)), r.normal(size=(5, 5)))
     scores = [r.normal(size=(n, 5)) for n in (1, 3, 4)]
-    crf.scores = lambda tokens: scores[len(tokens[0])]
-    paths = crf.decode([["x" * i] + [""] * (len(s) - 1) for i, s in enumerate(scores)])
+    crf.scores = lambda features: scores[len(features[0])]
+    paths = crf.decode([[["x"] * i] + [[]] * (len(s) - 1) for i, s in enumerate(scores)])
     for s, path in zip(scores, paths, strict=True):
         total = lambda p, s=s: sum(s[i, x] for i, x in enumerate(p)) + sum(crf.move[a, b] for a, b in itertools.pairwise(p))
         assert tuple(path) == max(itertools.product(range(5), repeat=len(s)), key=total)
