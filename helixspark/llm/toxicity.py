@@ -3,32 +3,37 @@
 A token that may hide a word (letters mixed with digits or symbols, letters one by one, a letter
 three times in a row) becomes a character lattice: every sign stands for itself, for the letters it
 resembles, or for nothing; repeats and separators may be dropped. Viterbi search under a character
-trigram model of the whole corpus picks the word. A classifier on words and word beginnings, fitted
-to a bounded sample of labelled rows, then scores the restored text.
+trigram model of the whole corpus picks the word. Letters that the model doesn't know stand for
+themselves. A classifier on words and word beginnings, fitted to a bounded sample of labelled
+documents, then scores the restored text. Features are found and counted on the executors; the driver gets
+counts of the chosen ones and one row of their numbers for each document of the sample.
 
 Defined results: null counts as empty and gets the score of a text without any marked word;
-repeated rows score alike; without labelled rows of both kinds every score is that of the
-kind there is, 0 without any; an empty table gives an empty result; other columns don't matter.
+repeated rows score alike, and to learn from count once for each id; an id with labels of both kinds is
+toxic; without labelled documents of both kinds every score is that of the kind there is, 0 without any;
+an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.session import ship, table
+from helixspark.llm.text import named
+from helixspark.session import cut, ship, table
 
-#: Labelled rows of each kind from which the classifier learns, at most: those with the least hash of the id.
-SAMPLE = 2000
+#: Labelled documents of each kind from which the classifier learns, at most: those with the least hash of the id.
+SAMPLE = 3000
+#: Labels are broadcast up to so many rows to find their documents, joined by a shuffle of ids beyond.
+MAX_BROADCAST = 1_000_000
 #: Features that the classifier keeps, at most, and the chi-square they need.
 FEATURES, LEAST_CHI2, LEAST_DOCS = 400, 20.0, 4
 THRESHOLD = 0.7
@@ -74,19 +79,21 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log((c3 + 5 * p2) / (c3.sum(2, keepdims=True) + 5))
 
 
-def lattice(token: str) -> list[list[tuple[int, float]]]:
-    """For each sign of a lower-cased token what it can stand for, with its cost; -1 is nothing, 0 a border."""
+def lattice(token: str) -> list[list[tuple[int, str, float]]]:
+    """For each sign of a lower-cased token what it can stand for: its number in the model (-1 for nothing, 0 for a border), what is written, and the cost."""
     out, run = [], 0
     for i, c in enumerate(token):
         run = run + 1 if i and token[i - 1] == c else 1
         if c in _INDEX:
-            arcs = [(_INDEX[c], 0.0)]
+            arcs = [(_INDEX[c], c, 0.0)]
+        elif c.isalpha():
+            arcs = [(0, c, 0.0)]
         else:
             signs = LEET.get(c, "")
-            arcs = [(0, BORDER if signs else 0.0), (-1, SIGN if signs else SEPARATOR), *((_INDEX[x], RESEMBLES) for x in signs)]
+            arcs = [(0, " ", BORDER if signs else 0.0), (-1, "", SIGN if signs else SEPARATOR), *((_INDEX[x], x, RESEMBLES) for x in signs)]
         if run > 1 and c in _INDEX:
             long = run > 2 or token[i + 1 : i + 2] == c
-            arcs.append((-1, LONG_REPEAT if long else REPEAT))
+            arcs.append((-1, "", LONG_REPEAT if long else REPEAT))
         out.append(arcs)
     return out
 
@@ -98,18 +105,18 @@ def restore(token: str, lm: list[list[list[float]]]) -> str:
         step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in best.items():
             row = lm[a][b]
-            for sign, cost in arcs:
+            for sign, written, cost in arcs:
                 if sign < 0:
                     state, value, way = (a, b), score - cost, path
                 else:
-                    state, value, way = (b, sign), score - cost + row[sign], (sign, path)
+                    state, value, way = (b, sign), score - cost + row[sign], (written, path)
                 if state not in step or value > step[state][0]:
                     step[state] = (value, way)
         best = step
     _, path = max(((score + lm[a][b][0], path) for (a, b), (score, path) in best.items()), key=lambda x: x[0])
     signs = []
     while path:
-        signs.append(" " if path[0] == 0 else LETTERS[path[0] - 1])
+        signs.append(path[0])
         path = path[1]
     return "".join(reversed(signs))
 
@@ -184,39 +191,15 @@ def _long(size: int) -> float:
     return math.log(size + 1) - 5
 
 
-def fit(rows: list[tuple[tuple[str, ...], int]], labels: np.ndarray, steps: int = 25, penalty: float = 0.05) -> Classifier:
-    """Logistic regression by Newton steps, on the features most unevenly spread over the two kinds of rows.
+def fit(x: np.ndarray, labels: np.ndarray, steps: int = 25, penalty: float = 0.05) -> np.ndarray:
+    """Weights of the columns of ``x``, the last for a constant, by Newton steps of logistic regression.
 
-    Both kinds weigh the same, however many rows of each there are.
+    Both kinds of rows weigh the same, however many of each there are.
     """
-    toxic, clean = int(labels.sum()), int((1 - labels).sum())
-    if not toxic or not clean:
-        return Classifier({}, 30.0 * (1 if toxic else -1))
-    # a feature of few rows is known by its bucket, so only the others are ever held by name
-    buckets = np.zeros(1 << 22, np.int32)
-    for (x, _), y in zip(rows, labels, strict=True):
-        if y:
-            np.add.at(buckets, [hash(f) & 0x3FFFFF for f in set(features(x))], 1)
-    seen = Counter(f for (x, _), y in zip(rows, labels, strict=True) if y for f in set(features(x)) if buckets[hash(f) & 0x3FFFFF] >= LEAST_DOCS)
-    often = {f for f, a in seen.items() if a >= LEAST_DOCS}
-    other = Counter(f for (x, _), y in zip(rows, labels, strict=True) if not y for f in {f for f in features(x) if f in often})
-    n, ranked = toxic + clean, []
-    for f in often:
-        a, b = seen[f], other[f]
-        if a / toxic > b / clean:
-            chi2 = n * (a * (clean - b) - b * (toxic - a)) ** 2 / (toxic * clean * (a + b) * (n - a - b) or 1)
-            if chi2 >= LEAST_CHI2:
-                ranked.append((-chi2, f))
-    names = [f for _, f in sorted(ranked)[:FEATURES]]
-    column = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names) + 2), np.float32)
-    x[:, -1] = 1
-    x[:, -2] = [_long(size) for _, size in rows]
-    for i, (r, _) in enumerate(rows):
-        x[i, list({column[f] for f in features(r) if f in column})] = 1
+    toxic = int(labels.sum())
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
-    weight = np.where(labels == 1, len(rows) / (2 * toxic), len(rows) / (2 * clean))
+    weight = np.where(labels == 1, len(x) / (2 * toxic), len(x) / (2 * (len(x) - toxic)))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
         v = (weight * np.maximum(p * (1 - p), 1e-4)).astype(np.float32)
@@ -224,7 +207,7 @@ def fit(rows: list[tuple[tuple[str, ...], int]], labels: np.ndarray, steps: int
         w += np.clip(step, -2, 2)
         if abs(step).max() < 1e-3:
             break
-    return Classifier({f: float(v) for f, v in zip(names, w, strict=False)}, float(w[-1]), float(w[-2]))
+    return w
 
 
 def corpus_model(docs: DataFrame, text_col: str = "text") -> list:
@@ -237,22 +220,59 @@ def corpus_model(docs: DataFrame, text_col: str = "text") -> list:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["code", "n"])
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "code long, n long")
+    parts = docs.select(named(text_col).alias("text")).mapInArrow(run, "code long, n long")
     found = parts.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SIZE**3, np.int64)
     counts[found.column("code").to_numpy()] = found.column("n").to_numpy()
     return language_model(counts).tolist()
 
 
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """id, toxic, text of the rows of at most ``sample`` documents of each kind that have a label (doc_id, toxic)."""
+    marks = labels.select(named(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
+    marks = cut(marks.groupBy("id").agg(F.max("toxic").alias("toxic")))
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
+    there = cut(rows.select("id").join(F.broadcast(marks) if marks.count() <= MAX_BROADCAST else marks, "id").distinct())
+    pick = lambda kind: there.where(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(sample)
+    return rows.join(F.broadcast(cut(pick(0).unionByName(pick(1)))), "id")
+
+
 def learn(docs: DataFrame, labels: DataFrame, lm: list, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Classifier:
-    """The classifier from at most ``sample`` rows of each kind of ``labels`` (doc_id, toxic)."""
-    named = labels.select(F.col(id_col).alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)")
-    pick = lambda kind: named.where(F.col("toxic") == kind).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    chosen = pick(0).unionByName(pick(1)).dropDuplicates(["label_id"])
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["label_id"]).select(F.col(text_col).alias("text"), "toxic").toArrow()
-    restorer = Restorer(lm, remember=50_000)
-    words = [(tuple(own), size) for own, size in (restorer.words(t.as_py() or "") for t in rows.column("text"))]
-    return fit(words, rows.column("toxic").to_numpy().astype(np.int64))
+    """The classifier from at most ``sample`` documents of each kind of ``labels`` (doc_id, toxic)."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(lm, np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = None
+        for batch in batches:
+            restorer = restorer or Restorer(shared.value.tolist(), remember=50_000)
+            for id_, toxic, text in zip(*batch.columns, strict=True):
+                own, size = restorer.words(text.as_py() or "")
+                yield pa.RecordBatch.from_arrays([pa.array([id_.as_py()]), pa.array([toxic.as_py()], pa.int32()), pa.array([size]), pa.array([sorted(set(features(own)))], pa.list_(pa.string()))], ["id", "toxic", "size", "features"])
+
+    found = sampled(docs, labels, id_col, text_col, sample).select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, size long, features array<string>")
+    found = cut(found.groupBy("id", "toxic").agg(F.min(F.struct("size", "features")).alias("own")).select("toxic", "own.*"))
+    toxic, rows = found.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    if not 0 < toxic < rows:
+        return Classifier({}, 30.0 * (1 if toxic else -1))
+    names = chosen_features(found, toxic, rows)
+    numbers = found.select("toxic", "size", F.array_intersect("features", F.lit(names) if names else F.array().cast("array<string>")).alias("own")).toArrow()
+    labels_ = numbers.column("toxic").to_numpy().astype(np.int64)
+    x, column = np.zeros((rows, len(names) + 2), np.float32), {f: i for i, f in enumerate(names)}
+    x[:, -1] = 1
+    x[:, -2] = [_long(size) for size in numbers.column("size").to_pylist()]
+    for i, own in enumerate(numbers.column("own").to_pylist()):
+        x[i, [column[f] for f in own]] = 1
+    w = fit(x, labels_)
+    return Classifier({f: float(v) for f, v in zip(names, w, strict=False)}, float(w[-1]), float(w[-2]))
+
+
+def chosen_features(found: DataFrame, toxic: int, rows: int) -> list[str]:
+    """The features (of toxic and features) that are most unevenly spread over the two kinds of rows, by chi-square."""
+    counts = found.select(F.col("toxic").cast("long").alias("toxic"), F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    a, b, clean = F.col("a").cast("double"), F.col("b").cast("double"), rows - toxic
+    chi2 = rows * F.pow(a * (clean - b) - b * (toxic - a), F.lit(2)) / F.greatest(float(toxic) * clean * (a + b) * (rows - a - b), F.lit(1.0))
+    uneven = counts.where((a >= LEAST_DOCS) & (a * clean > b * toxic)).select("f", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
+    return [r.f for r in uneven.orderBy(F.desc("chi2"), "f").limit(FEATURES).collect()]
 
 
 def score_documents(docs: DataFrame, classifier: Classifier, lm: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +286,7 @@ def score_documents(docs: DataFrame, classifier: Classifier, lm: list, id_col: s
             scores = [own.score(*restorer.words(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -274,14 +294,13 @@ def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(~held_out(id_col))
 
 
-def held_out(id_col: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+def held_out(id_col: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(named(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     ship(docs.sparkSession)
-    docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     lm = corpus_model(docs, text_col)
     scores = score_documents(docs, learn(docs, training_rows(labels), lm, id_col, text_col), lm, id_col, text_col)
     return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -300,7 +319,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             yield batch.filter(pa.array([own.score(*restorer.words(t.as_py() or "")) < threshold for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow doesn't take names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

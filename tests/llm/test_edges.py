@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from helixspark.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality_lm, quality_rules, toxicity, url_filter, warc
 from helixspark.session import scratch
 
-EXTRA = "kept boolean, digest string, `row` long, label string, cluster long, n long, host string, draw double, id string, weight double, words array<string>"
+EXTRA = "kept boolean, digest string, `row` long, label string, cluster long, n long, host string, draw double, id string, weight double, words array<string>, toxic int, quality int, `meta.url` string"
 DOCS = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
-MORE = (True, "d", 7, "l", 3, 9, "h", 0.5, "i", 1.0, ["w"])
+MORE = (True, "d", 7, "l", 3, 9, "h", 0.5, "i", 1.0, ["w"], 1, 1, "u")
 
 
 @pytest.fixture(scope="module")

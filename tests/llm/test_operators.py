@@ -222,6 +222,57 @@ def test_restoring(texts):
     assert r.words("x" * 5000 + "1" * 5000)[1] == 1
 
 
+def test_restoring_is_exact():
+    """The best of all ways through the lattice, by trying each; letters beyond the model stay."""
+    r = np.random.default_rng(4)
+    lm = r.normal(size=(toxicity.SIZE,) * 3).tolist()
+    for token in ("1a0", "aab!", "a.b3", "$$a1", "жa1", "aaa7"):
+        ways = []
+        for way in itertools.product(*toxicity.lattice(token)):
+            a = b = 0
+            total = 0.0
+            for sign, _, cost in way:
+                total -= cost
+                if sign >= 0:
+                    total += lm[a][b][sign]
+                    a, b = b, sign
+            ways.append((total + lm[a][b][0], "".join(x[1] for x in way)))
+        assert toxicity.restore(token, lm) == max(ways)[1], token
+    assert toxicity.restore("слово1", lm).startswith("слово")
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    """op6's rows by the definition: sample, features, chi-square, weights and scores, with repeated rows and clashing names."""
+    r = random.Random(9)
+    words_ = ["table", "green", "river", "walks", "under", "stone"]
+    rows = [(i, " ".join(r.choices(words_, k=12) + (["idiot", "m0ron"] if i % 3 == 0 else [])), 1, i % 3 == 0) for i in range(300)]
+    docs = [(i, t, 5, "x") for i, t, _, _ in rows] + [(0, rows[0][1], 5, "x")] * 40 + [(None, None, 5, "x")]
+    labels = spark.createDataFrame([(i, int(bad)) for i, _, _, bad in rows] + [(0, 0), (10**9, 1), (None, 1)], "doc_id long, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int, `meta.url` string")
+    got = toxicity.toxicity(df, labels).collect()
+    assert len(got) == len(docs)
+    lm = toxicity.language_model(toxicity.trigram_counts(t or "" for _, t, _, _ in docs)).astype(np.float32).tolist()
+    restorer = toxicity.Restorer(lm)
+    train = [(set(toxicity.features(own)), size, int(bad)) for i, t, _, bad in rows if zlib.crc32(str(i).encode()) % 3 != 1 for own, size in [restorer.words(t)]]
+    n, toxic = len(train), sum(y for _, _, y in train)
+    seen, ranked = Counter(f for x, _, y in train if y for f in x), []
+    other = Counter(f for x, _, y in train if not y for f in x)
+    for f, a in seen.items():
+        b = other[f]
+        chi2 = n * (a * (n - toxic - b) - b * (toxic - a)) ** 2 / max(1, toxic * (n - toxic) * (a + b) * (n - a - b))
+        if a >= toxicity.LEAST_DOCS and a * (n - toxic) > b * toxic and chi2 >= toxicity.LEAST_CHI2:
+            ranked.append((-chi2, f))
+    names = [f for _, f in sorted(ranked)[: toxicity.FEATURES]]
+    assert {"idiot", "moron"} <= set(names)
+    x = np.array([[f in own for f in names] + [math.log(size + 1) - 5, 1] for own, size, _ in train], np.float32)
+    w = toxicity.fit(x, np.array([y for _, _, y in train]))
+    for row in got:
+        own, size = restorer.words(dict((i, t) for i, t, _, _ in docs)[row.doc_id] or "")
+        z = sum(v for f, v in zip(names, w, strict=False) if f in set(toxicity.features(own))) + w[-2] * (math.log(size + 1) - 5) + w[-1]
+        assert math.isclose(row.score, 1 / (1 + math.exp(-z)), abs_tol=2e-3)
+        assert row.predicted == (row.score >= 0.7) and row.held_out == (row.doc_id is not None and zlib.crc32(str(row.doc_id).encode()) % 3 == 1)
+
+
 def test_trigram_counts():
     ts = ["Ab", "", "b a"]
     got, n = toxicity.trigram_counts(ts, joined=1), toxicity.SIZE
@@ -368,7 +419,9 @@ def test_raking_meets_targets(spark):
     r = random.Random(2)
     cells = [(s, la, t, r.randrange(1, 1000)) for s in "abcd" for la in "xy" for t in "pq"]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
-    w = {(x.source, x.lang, x.topic): x.weight for x in mixing.rake(df.coalesce(1), sweeps=60).collect()}
+    w = {(x.source, x.lang, x.topic): x.weight for x in mixing.rake(df).collect()}
+    apart = {(x.source, x.lang, x.topic): x.weight for x in mixing.rake(df, sweeps=3, few=False).collect()}
+    assert all(math.isclose(apart[c], w[c], rel_tol=1e-6) for c in w)
     total = sum(c[3] for c in cells)
     for d in range(3):
         own, got = Counter(), Counter()
@@ -380,6 +433,21 @@ def test_raking_meets_targets(spark):
             assert math.isclose(got[v], own[v] ** mixing.ALPHA / scale * total, rel_tol=1e-6)
 
 
+def test_given_targets_and_yield(spark):
+    """Drawn shares are the given ones; with a yield, small cells are kept whole and the rest stay in proportion."""
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, "a b c d", "big" if i % 10 else "small", "en" if r.random() < 0.7 else "de") for i in range(6000)], "doc_id long, text string, source string, lang string")
+    shares = [("source", "big", 0.6), ("source", "small", 0.4), ("lang", "en", 0.5), ("lang", "de", 0.5), ("topic", "prose", 1.0), ("topic", "none", 3.0)]
+    targets = spark.createDataFrame(shares, "dimension string, value string, share double")
+    drawn = [x for x in mixing.mix(docs, targets=targets, least=0.0).collect() if x.kept]
+    for d, v, share in shares[:4]:
+        assert abs(sum(x[d] == v for x in drawn) / len(drawn) - share) < 0.05
+    every = mixing.mix(docs, targets=targets, least=0.9).collect()
+    assert sum(x.kept for x in every) > 0.88 * len(every) and {x.prob for x in every if x.source == "small"} == {1.0}
+    only = mixing.mix(docs, targets=targets.where("value <> 'small'")).collect()
+    assert {x.source for x in only if x.kept} == {"big"}
+
+
 def test_many_cells_join_by_shuffle(documents, monkeypatch):
     want = sorted(map(tuple, mixing.mix(documents).collect()))
     monkeypatch.setattr(mixing, "MAX_CELLS", 0)

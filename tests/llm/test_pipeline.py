@@ -56,7 +56,7 @@ def test_near(stages):
 
 def test_mixing(stages):
     before, after = stages["mixing"]
-    kept = {r.doc_id for r in mixing.mix(before, alpha=0.9).collect() if r.kept}
+    kept = {r.doc_id for r in mixing.mix(before, alpha=0.9, least=0.9).collect() if r.kept}
     assert kept and rows(after) == [r for r in rows(before) if r[0] in kept]
 
 
