@@ -3,8 +3,9 @@
 The distinct pieces of a slice of text are laid out as padded matrices of token ids, bucketed by
 length. Each round looks all neighbouring pairs up in an open-addressing hash table, merges every
 row's leftmost pair of least rank, and closes the gaps; rows without a mergeable pair leave.
-Pieces longer than the widest matrix are merged with a heap instead, which gives the same ids
-without quadratic work. A worker keeps the pieces it has met, up to a bound.
+A piece longer than the widest of these matrices is a row of its own, of its own length, in which a round
+merges the pair of least rank wherever it stands, from the left, up to the first place where that makes
+a pair of lower rank, which goes first; so the ids are those of round after round. A worker keeps the pieces it has met, up to a bound.
 
 Defined results: null counts as empty and has no ids; repeated rows repeat; an empty table gives
 an empty result; other columns don't matter.
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm import words
+from helixspark.llm.text import named
 from helixspark.session import ship, table
 
 WIDEST = 128
@@ -92,33 +93,28 @@ class Codec:
         self.ids: list[np.ndarray] = []
         self.texts: list[str] = []
 
-    def _long(self, piece: bytes) -> list[int]:
-        """Merges one piece with a heap of (rank, place)."""
-        ids, n = self.byte[np.frombuffer(piece, np.uint8)].tolist(), len(piece)
-        spans = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (r := self.ranks.get(spans[i] + spans[j])) is not None:
-                heapq.heappush(heap, (r, i, spans[i], spans[j]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if i < n else n
-            if spans[i] is not a or j >= n or spans[j] is not b:
-                continue
-            spans[i], ids[i], spans[j] = a + b, r, None
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [ids[i] for i in range(n) if spans[i] is not None]
+    def _long(self, piece: bytes) -> np.ndarray:
+        """Merges one piece of any length."""
+        ids = self.byte[np.frombuffer(piece, np.uint8)]
+        rank = self.pairs(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != _NONE:
+            at = np.flatnonzero(rank == best)
+            if len(at) > 1:
+                run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of pairs that overlap the first, third, ... are merged
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0]
+                merged = np.full(len(at), best, np.int32)
+                left = np.where(np.diff(at, prepend=-2) == 2, best, ids[np.maximum(at - 1, 0)])
+                lower = (at > 0) & (self.pairs(left, merged) < best)
+                lower |= (at + 2 < len(ids)) & (self.pairs(merged, ids[np.minimum(at + 2, len(ids) - 1)]) < best)
+                if lower.any():
+                    at = at[: int(lower.argmax()) + 1]
+            ids[at] = best
+            ids, at = np.delete(ids, at + 1), at - np.arange(len(at))
+            rank = np.delete(rank, at + np.arange(len(at)))
+            for side in (at - 1, at):
+                side = side[(side >= 0) & (side < len(rank))]
+                rank[side] = self.pairs(ids[side], ids[side + 1])
+        return ids
 
     def _matrix(self, pieces: Sequence[bytes], width: int) -> list[np.ndarray]:
         """Merges pieces of at most ``width`` bytes together."""
@@ -169,7 +165,7 @@ class Codec:
             if whole is not None:
                 found[k] = np.array([whole], np.int32)
             elif len(p) > WIDEST:
-                found[k] = np.array(self._long(p), np.int32)
+                found[k] = self._long(p)
             else:
                 buckets.setdefault(4 * -(-len(p) // 4), []).append(k)
         for width, rows in buckets.items():
@@ -247,7 +243,7 @@ def _encoded(path: str | None, pattern: str | None, columns: Sequence[str]):
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
 
 
 def _in_batches(docs: DataFrame, id_col: str, text_col: str, path: str | None, pattern: str | None, columns: Sequence[str]) -> DataFrame:
