@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.functions import alphabet as ab
+from helixspark.functions import ranges
 from helixspark.functions.alphabet import Alphabet
 from helixspark.operators import fm, search
 from helixspark.operators import sequences as seqs
@@ -52,6 +53,11 @@ def nations(spark, d: str) -> DataFrame:
 _indexes: dict[tuple, Index] = {}
 
 
+def forget_indexes() -> None:
+    """The next query of an index builds it anew."""
+    _indexes.clear()
+
+
 def index(spark, d: str, alphabet: Alphabet = NUC) -> Index:
     """The index of the suppliers' reads (or nations' names), built once for each session and folder."""
     key = (spark.sparkContext.applicationId, d, alphabet)
@@ -116,8 +122,8 @@ def index_roundtrip(spark, d: str) -> DataFrame:
 
 
 def count_pattern(spark, d: str) -> DataFrame:
-    """One pattern in all documents, within and across them."""
-    asked = spark.createDataFrame([(0, "gat"), (1, "NACG"), (2, "cau"), (3, "GATTACAGATTACA")], "query_id long, pattern string")
+    """A few patterns in all documents, within and across them, overlaps included."""
+    asked = spark.createDataFrame([(0, "gat"), (1, "NACG"), (2, "cau"), (3, "GATTACAGATTACA"), (4, "AA"), (5, "NN"), (6, "NNTN")], "query_id long, pattern string")
     return search.count(seqs.folded(texts(spark, d), NUC), asked, NUC)
 
 
@@ -125,6 +131,27 @@ def _located(spark, d: str, asked: DataFrame) -> DataFrame:
     return search.locate(seqs.folded(reads(spark, d), NUC), asked, NUC)
 
 
+def locate_lists(spark, d: str) -> DataFrame:
+    """The places of each pattern in one row, in order."""
+    found = search.locate_lists(seqs.folded(reads(spark, d), NUC), patterns(spark, d), NUC)
+    shown = F.transform("locations", lambda x: F.concat_ws(":", x["sequence_idx"].cast("string"), x["local_position"].cast("string")))
+    return found.select("query_id", F.size("locations").cast("long").alias("n"), F.array_join(shown, ",").alias("places"))
+
+
+def suffix_array_bounded(spark, d: str) -> DataFrame:
+    """All positions of the folded documents by the next 32 letters, then by position."""
+    return fm.suffix_array(seqs.folded(texts(spark, d), NUC), NUC, 32).select("row", "pos")
+
+
+def symbol_bits(spark, d: str) -> DataFrame:
+    """For every nation a vector of 128 bits with one set, and how many are set up to places in it."""
+    at = (F.col("n_nationkey") * 5).cast("long")
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), at.alias("at"), ranges.with_bit(ranges.empty_bits(F.lit(128)), at).alias("bits"))
+    bit = ranges.bit_of(F.col("bits"), F.col("at")).cast("long")
+    low = [ranges.masked_popcount(F.element_at("bits", i + 1), F.lit(50)).cast("long").alias(f"low{i}") for i in (0, 1)]
+    return rows.select("key", bit.alias("bit"), *low)
+
+
 QUERIES = {
     "fold_nucleotide": _folds(NUC),
     "fold_amino": _folds(AMINO),
@@ -137,6 +164,9 @@ QUERIES = {
     "batch_count": lambda s, d: search.count(seqs.folded(reads(s, d), NUC), patterns(s, d), NUC),
     "batch_locate": lambda s, d: _located(s, d, patterns(s, d)),
     "count_pattern": count_pattern,
+    "locate_lists": locate_lists,
+    "suffix_array_bounded": suffix_array_bounded,
+    "symbol_bits": symbol_bits,
     "locate_pattern": lambda s, d: _located(s, d, s.createDataFrame([(0, "gattaca")], "query_id long, pattern string")),
     "suffix_array": lambda s, d: index(s, d).suffix_array.select("row", "pos"),
     "suffix_array_amino": lambda s, d: index(s, d, AMINO).suffix_array.select("row", "pos"),
@@ -174,6 +204,12 @@ c as (select idx, symbol, n, cast(sum(n) over (order by idx) - n as bigint) as c
 _FM_AMINO = _FM.split("a as (")[0].rstrip().rstrip(",").replace("s_suppkey - (select min(s_suppkey) from supplier)", "n_nationkey").replace(_READ.format("s_suppkey"), _FOLD_AMINO.format("n_name")).replace("from supplier", "from nation").replace("'N'", "'X'")
 _HITS = "w as (select seq_idx, i - 1 as pos, substr(s, cast(i as int), 7) as kmer from r, unnest(range(1, length(s) - 5)) as x(i))"
 _PARTS = f"q as (select p_partkey as query_id, substr({_READ.format('p_partkey')}, 1, {{0}}) as pattern from part)"
+#: Every position of the folded documents with the next 32 letters, by chunks of 256.
+_PIECES = (
+    f"x as (select regexp_extract_all(string_agg({_FOLD.format('text')}, 'N' order by doc_id){{0}}, '.{{{{1,256}}}}') as c from documents), "
+    "y as (select i, c[i] as own, c[i] || coalesce(substr(c[i + 1], 1, 31), '') as part from x, unnest(range(1, len(c) + 1)) as u(i)), "
+    "w as (select (i - 1) * 256 + j as pos, substr(part, cast(j + 1 as int), 32) as w from y, unnest(range(0, length(own))) as v(j))"
+)
 _CODES = "case symbol when '$' then 4 when 'A' then 6 when 'C' then 5 when 'G' then 3 when 'N' then 2 else 1 end"
 
 
@@ -194,8 +230,11 @@ ORACLE_SQL = {
     "localize_positions": f"with {_STARTS} select cast(start_position + x as bigint) as pos, seq_idx as sequence_idx, cast(x as bigint) as local_position from st cross join (values (0), (17), (32)) as v(x)",
     "batch_count": f"with {_READS}, {_HITS}, {_PARTS.format(7)} select query_id, count(w.seq_idx) as n from q left join w on pattern = kmer group by query_id",
     "batch_locate": f"with {_READS}, {_HITS}, {_PARTS.format(7)} select query_id, seq_idx as sequence_idx, cast(pos as bigint) as local_position from q join w on pattern = kmer",
-    "count_pattern": f"with x as (select string_agg({_FOLD.format('text')}, 'N' order by doc_id) as s from documents), q(query_id, p) as (values (0, 'GAT'), (1, 'NACG'), (2, 'CAT'), (3, 'GATTACAGATTACA')) "
-    "select cast(query_id as bigint) as query_id, cast((length(s) - length(replace(s, p, ''))) // length(p) as bigint) as n from x cross join q",
+    "count_pattern": f"with {_PIECES.format('')}, q(query_id, p) as (values (0, 'GAT'), (1, 'NACG'), (2, 'CAT'), (3, 'GATTACAGATTACA'), (4, 'AA'), (5, 'NN'), (6, 'NNTN')) "
+    "select cast(query_id as bigint) as query_id, cast(sum((prefix(w, p) and length(w) >= length(p))::int) as bigint) as n from w cross join q group by query_id",
+    "locate_lists": f"with {_READS}, {_HITS}, {_PARTS.format(7)} select query_id, count(w.seq_idx) as n, coalesce(string_agg(seq_idx || ':' || pos, ',' order by seq_idx, pos), '') as places from q left join w on pattern = kmer group by query_id",
+    "suffix_array_bounded": f"with {_PIECES.format(" || '$'")} select cast(row_number() over (order by w, pos) - 1 as bigint) as row, cast(pos as bigint) as pos from w",
+    "symbol_bits": "select n_nationkey as key, cast(1 as bigint) as bit, cast((n_nationkey * 5 <= 50)::int as bigint) as low0, cast((n_nationkey * 5 between 64 and 114)::int as bigint) as low1 from nation",
     "locate_pattern": f"with {_READS}, {_HITS} select cast(0 as bigint) as query_id, seq_idx as sequence_idx, cast(pos as bigint) as local_position from w where kmer = 'GATTACA'",
     "suffix_array": f"with {_FM} select row, pos from fm",
     "suffix_array_amino": f"with {_FM_AMINO} select row, pos from fm",

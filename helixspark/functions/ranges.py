@@ -52,6 +52,18 @@ def bit_of(words: Column, position: Column) -> Column:
     return F.getbit(F.element_at(words, (F.shiftright(position, 6) + 1).cast("int")), position.bitwiseAND(F.lit(63)).cast("int"))
 
 
+def with_bit(words: Column, position: Column) -> Column:
+    """The vector with the bit at a position set."""
+    place = F.shiftright(position, 6).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), position.bitwiseAND(F.lit(63)).cast("int"))
+    return F.transform(words, lambda w, i: F.when(i == place, w.bitwiseOR(bit)).otherwise(w))
+
+
+def empty_bits(length: Column) -> Column:
+    """A vector of so many bits, none set."""
+    return F.array_repeat(F.lit(0).cast("long"), F.ceil(length / F.lit(64)).cast("int"))
+
+
 def masked_popcount(word: Column, position: Column) -> Column:
     """Set bits of a long from bit 0 to ``position``, included."""
     return F.bit_count(F.call_function("shiftleft", word, (F.lit(63) - position).cast("int")))

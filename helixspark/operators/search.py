@@ -1,7 +1,8 @@
 """Counting and locating batches of exact patterns.
 
-Patterns are joined with the text's windows on their first letters (the seed) and compared in full
-where the seeds meet. Patterns without the ambiguity letter can't span two sequences and skip all
+A few patterns are counted in one pass over the sequences, by lookahead, so that overlaps count. Larger
+batches are joined with the text's windows on their first letters (the seed) and compared in full where
+the seeds meet. Patterns without the ambiguity letter can't span two sequences and skip all
 windows with it, which are the most frequent ones; patterns with it run over the text of all
 sequences.
 """
@@ -17,6 +18,8 @@ from helixspark.session import cut
 
 #: Letters of the seed; shorter patterns are their own seed.
 SEED = 12
+#: Up to so many distinct patterns, and letters of them, are counted by one pass without windows.
+FEW, FEW_LETTERS = 64, 10_000
 
 
 def checked(queries: DataFrame, alphabet: Alphabet, max_query_len: int | None = None) -> DataFrame:
@@ -55,10 +58,29 @@ def locate(sequences: DataFrame, queries: DataFrame, alphabet: Alphabet, max_que
     return asked.join(occurrences(sequences, asked, alphabet), "pattern").select("query_id", "sequence_idx", "local_position")
 
 
+def _few(patterns: DataFrame) -> list[str] | None:
+    """The distinct patterns, if they are few and short."""
+    n, letters = patterns.agg(F.count(F.lit(1)), F.sum(F.length("pattern"))).first()
+    return [r.pattern for r in patterns.collect()] if n <= FEW and (letters or 0) <= FEW_LETTERS else None
+
+
+def count_few(sequences: DataFrame, patterns: list[str], alphabet: Alphabet) -> DataFrame:
+    """pattern, k: the occurrences of each, by one pass for those within sequences and one for those that may span some."""
+    spark, found = sequences.sparkSession, {}
+    wide = [p for p in patterns if alphabet.ambiguity in p]
+    for own, text in ((sorted(set(patterns) - set(wide)), sequences), (wide, sequences if not wide else continued(sequences, max(map(len, wide)), alphabet))):
+        if own:
+            # a match begins in the sequence or at the delimiter behind it, so it needs its own length from there
+            sums = [F.sum(F.regexp_count("seq" if text is sequences else F.concat("seq", F.expr(f"left(tail, {len(p)})")), F.lit(f"(?={p})")).cast("long")).alias(f"p{i}") for i, p in enumerate(own)]
+            found |= dict(zip(own, text.agg(*sums).first(), strict=True))
+    return spark.createDataFrame([(p, k or 0) for p, k in found.items()], "pattern string, k long")
+
+
 def count(sequences: DataFrame, queries: DataFrame, alphabet: Alphabet, max_query_len: int | None = None) -> DataFrame:
     """query_id, n for every query, 0 included. Occurrences are summed up by pattern before they meet the queries."""
     asked = cut(checked(queries, alphabet, max_query_len))
-    sums = occurrences(sequences, asked, alphabet).groupBy("pattern").agg(F.count(F.lit(1)).alias("k"))
+    few = _few(asked.select("pattern").distinct())
+    sums = occurrences(sequences, asked, alphabet).groupBy("pattern").agg(F.count(F.lit(1)).alias("k")) if few is None else F.broadcast(count_few(sequences, few, alphabet))
     return asked.join(sums, "pattern", "left").select("query_id", F.coalesce("k", F.lit(0).cast("long")).alias("n"))
 
 

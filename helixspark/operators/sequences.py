@@ -35,22 +35,25 @@ def last_sequence(sequences: DataFrame) -> int:
 def continued(sequences: DataFrame, letters: int, alphabet: Alphabet) -> DataFrame:
     """seq_idx, seq, tail: what follows each sequence in the text of all, ``letters`` letters at most.
 
-    Each round doubles how many sequences a tail reaches over, by an equi-join on the number.
+    Numbers may have gaps: sequences are counted in their order first. Each round doubles how many
+    sequences a tail reaches over, by an equi-join on the place in that order.
     """
     rows = sequences.select("seq_idx", "seq")
     last = last_sequence(rows)
     heads = rows.select("seq_idx", F.expr(f"left(concat(seq, if(seq_idx = {last}L, '', '{alphabet.ambiguity}')), {letters})").alias("head"))
-    heads, step = cut(heads), 1
-    while step <= last and step < letters:
-        after = heads.select((F.col("seq_idx") - step).alias("seq_idx"), F.col("head").alias("more"))
+    heads, step = cut(running_sum(heads, "seq_idx", F.lit(1), "place")), 1
+    n = heads.count()
+    while step < n and step < letters:
+        after = heads.select((F.col("place") - step).alias("place"), F.col("head").alias("more"))
         short = heads.where(F.length("head") < letters)
-        if short.where(F.col("seq_idx") + step <= last).isEmpty():
+        if short.where(F.col("place") + step < n).isEmpty():
             break
-        heads = cut(heads.join(after, "seq_idx", "left").select("seq_idx", F.expr(f"left(concat(head, coalesce(more, '')), {letters})").alias("head")))
+        heads = cut(heads.join(after, "place", "left").select("seq_idx", "place", F.expr(f"left(concat(head, coalesce(more, '')), {letters})").alias("head")))
         step *= 2
-    after = heads.select((F.col("seq_idx") - 1).alias("seq_idx"), F.col("head").alias("more"))
+    after = heads.select((F.col("place") - 1).alias("place"), F.col("head").alias("more"))
     tail = F.expr(f"if(seq_idx = {last}L, '', left(concat('{alphabet.ambiguity}', coalesce(more, '')), {letters}))")
-    return rows.join(after, "seq_idx", "left").select("seq_idx", "seq", tail.alias("tail"))
+    tails = heads.select("seq_idx", "place").join(after, "place", "left").select("seq_idx", tail.alias("tail"))
+    return rows.join(tails, "seq_idx").select("seq_idx", "seq", "tail")
 
 
 def windows(sequences: DataFrame, size: int, longest: int | None = None, chunk: int = CHUNK) -> DataFrame:

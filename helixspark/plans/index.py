@@ -146,9 +146,11 @@ class Index:
     def count_string(self, pattern: str) -> int:
         return self.parallel_count(self._asked([pattern])).first()["n"]
 
-    def locate_string(self, pattern: str) -> list[LocalizedPosition]:
-        """Sorted places of one pattern; a result for one user, so it is collected."""
-        return sorted(LocalizedPosition(r.sequence_idx, r.local_position) for r in self.parallel_locate(self._asked([pattern])).toLocalIterator())
+    def locate_string(self, pattern: str, limit: int | None = None) -> list[LocalizedPosition]:
+        """Sorted places of one pattern, with ``limit`` the first so many; a result for one user, so it is collected. Frequent patterns: parallel_locate."""
+        found = self.parallel_locate(self._asked([pattern]))
+        found = found.orderBy("sequence_idx", "local_position").limit(limit) if limit is not None else found
+        return sorted(LocalizedPosition(r.sequence_idx, r.local_position) for r in found.toLocalIterator())
 
     def search_ranges(self, queries: DataFrame) -> DataFrame:
         """query_id, start_ptr, end_ptr of the suffix rows of each pattern; (1, 0) where there are none."""
@@ -158,8 +160,10 @@ class Index:
         return asked.join(found, "pattern", "left").select("query_id", F.coalesce("start_ptr", F.lit(1).cast("long")).alias("start_ptr"), F.coalesce("end_ptr", F.lit(0).cast("long")).alias("end_ptr"))
 
     def kmer_lookup(self, queries: DataFrame) -> DataFrame:
-        """As search_ranges, for patterns of the table's length, from the table."""
+        """As search_ranges, for patterns of the table's length without the ambiguity letter, from the table. Others are an error."""
         asked = search.checked(queries, self.alphabet)
+        other = (F.length("pattern") != self.options.kmer) | F.contains("pattern", F.lit(self.alphabet.ambiguity))
+        asked = asked.withColumn("pattern", F.when(other, F.raise_error(F.concat(F.lit(f"not a pattern of {self.options.kmer} plain letters: "), "pattern"))).otherwise(F.col("pattern")))
         found = asked.join(self.kmer_ranges, asked["pattern"] == F.col("kmer"), "left")
         return found.select("query_id", F.coalesce("start_ptr", F.lit(1).cast("long")).alias("start_ptr"), F.coalesce("end_ptr", F.lit(0).cast("long")).alias("end_ptr"))
 
@@ -188,6 +192,13 @@ class Index:
         self.metadata().write.mode("overwrite").parquet(f"{path}/metadata")
 
 
+def saved_bytes(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes of each table of a saved index."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    places = {name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}") for name in TABLES}
+    return {name: place.getFileSystem(hadoop).getContentSummary(place).getLength() for name, place in places.items()}
+
+
 def build(spark: SparkSession, source: DataFrame | str, options: BuildOptions | None = None) -> Index:
     """An index of a FASTA or FASTQ path, or of a table with seq_idx, header and seq."""
     options = options or BuildOptions()

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from helixspark.functions.alphabet import Alphabet, Symbol, fold_text
 from helixspark.functions.ranges import SearchRange
-from helixspark.operators import fm
+from helixspark.operators import fm, search
 from helixspark.operators.ordered import as_of, global_rank, running_sum
-from helixspark.plans.index import BuildOptions, build, load
+from helixspark.plans.index import BuildOptions, build, load, saved_bytes
 from helixspark.sources.fastx import read_fasta, read_fastq, read_sequences, write_fasta
 from helixspark.streaming.patterns import count_stream, locate_stream
 
@@ -68,6 +68,39 @@ def test_random_collections(spark, alphabet, letters):
     assert [sorted(got[q]) for q in got] == [brute(seqs, p, alphabet) for p in patterns]
 
 
+@pytest.mark.parametrize("numbers", [(0, 5, 9, 10, 70_000), (3, 2**33, 2**33 + 1, 2**40, 2**40 + 7)])
+def test_gaps_between_numbers(spark, numbers):
+    """Numbers of a filtered collection: what follows a sequence is the next one there is."""
+    seqs = ["ACGT", "TTAC", "", "ACGT", "A"]
+    rows = spark.createDataFrame([(n, "h", s) for n, s in zip(numbers, seqs, strict=True)], "seq_idx long, header string, seq string")
+    index = build(spark, rows)
+    asked = ["TNT", "CNA", "CNNA", "TNA", "N", "NN", "ACGT", "CNNACGTNA"]
+    want = [brute(seqs, p, NUC) for p in asked]
+    assert [r.n for r in index.parallel_count(queries(spark, asked)).orderBy("query_id").collect()] == list(map(len, want))
+    places = {r.query_id: [(numbers.index(x.sequence_idx), x.local_position) for x in r.locations] for r in index.parallel_locate_lists(queries(spark, asked)).collect()}
+    assert [places[i] for i in range(len(asked))] == want
+    text = "N".join(seqs) + "$"
+    assert [x.pos for x in index.suffix_array.orderBy("row").collect()] == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_kmer_lookup_takes_its_own_length_only(spark):
+    index = build(spark, collection(spark, ["ACGTACG"]), BuildOptions(lookup_table_kmer_len=3))
+    assert [tuple(r) for r in index.kmer_lookup(queries(spark, ["acg", "TTT"])).orderBy("query_id").collect()] == [(0, 1, 2), (1, 1, 0)]
+    for bad in ("ACGT", "AC", "TNA"):
+        with pytest.raises(PySparkException):
+            index.kmer_lookup(queries(spark, [bad])).collect()
+
+
+def test_few_patterns_as_many(spark, monkeypatch):
+    """The pass for few patterns counts as the join of windows does."""
+    r = random.Random(6)
+    index = build(spark, collection(spark, ["".join(r.choices("ACGTN", k=r.randrange(0, 60))) for _ in range(30)]))
+    asked = queries(spark, ["A", "AA", "NN", "NAN", "ACG", "TNNT", "N", "GNG", "AANAA", "CCCCCCCCCCCCCCCC"])
+    few = sorted(map(tuple, index.parallel_count(asked).collect()))
+    monkeypatch.setattr(search, "FEW", 0)
+    assert few == sorted(map(tuple, index.parallel_count(asked).collect())) and sum(n for _, n in few) > 100
+
+
 def test_index_tables(spark):
     r = random.Random(5)
     seqs = ["".join(r.choices("ACGT", k=k)) for k in (400, 60, 0, 33)] + ["ACGT" * 40]
@@ -125,6 +158,7 @@ def test_save_and_load(spark, tmp_path):
     index.save(str(tmp_path / "x"))
     again = load(spark, str(tmp_path / "x"))
     assert again.options == index.options and again.count_string("TT") == 2
+    assert again.locate_string("T", limit=2) == again.locate_string("T")[:2] and min(saved_bytes(spark, str(tmp_path / "x")).values()) > 0
     for name in ("sequences", "suffix_array", "bwt", "prefix_sums", "milestones", "sampled_suffix_array", "kmer_ranges"):
         a, b = getattr(index, name), getattr(again, name)
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
