@@ -238,11 +238,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = classes.select("rep", F.col("n").alias("n"), "registers")
     compared = join_hot(pairs.where("a <> b").select("a", "b"), own.toDF("a", "n_a", "regs_a"), ["a"]).join(own.toDF("b", "n_b", "regs_b"), "b")
     star = cut(compared.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_estimates, "a long, b long, estimate double"))
+    release(spark)
     near = star.where(F.col("estimate") >= ESTIMATE).select("a", "b")
     # members that aren't near their band's smallest may be near any other of the band
     far = star.where(F.col("estimate") < ESTIMATE).select("a", "b")
     within = _near_within_bands(shared, far, own, percent)
     clusters = connected_components(near if within is None else near.unionByName(within)).toDF("doc_id", "cluster")
+    release(spark)
 
     links = _verified(rows, clusters, classes, degree, size, percent)
     if not twice.isEmpty():

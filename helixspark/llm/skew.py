@@ -30,7 +30,8 @@ def join_hot(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str =
         heavy = hot_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")), keys)
     if heavy.isEmpty():
         return rows.join(other, keys, how)
-    few = F.broadcast(cut(other.join(F.broadcast(heavy), keys, "left_semi")))
-    hot = rows.join(F.broadcast(heavy), keys, "left_semi").join(few, keys, how)
-    rest = rows.join(F.broadcast(heavy), keys, "left_anti").join(other, keys, how)
+    few = heavy.join(other.withColumn("_there", F.lit(True)), keys, "left").withColumn("_hot", F.lit(True))
+    met = rows.join(F.broadcast(cut(few)), keys, "left")
+    hot = met.where("_hot" if how == "left" else "_there").drop("_hot", "_there")
+    rest = met.where("_hot is null").select(*rows.columns).join(other, keys, how)
     return hot.unionByName(rest)

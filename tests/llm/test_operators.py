@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixspark.llm import bpe, components, mixing, near_dedup, pii, quality_lm, quality_rules, queries, toxicity, url_filter, warc, words
+from helixspark.llm import bpe, components, mixing, near_dedup, pii, quality_lm, quality_rules, queries, skew, toxicity, url_filter, warc, words
 from helixspark.session import scratch, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -403,6 +403,15 @@ def test_estimates():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
 
 
+def test_hot_keys_join_alike(spark):
+    rows = spark.createDataFrame([(i if i % 3 else 7, "b", i) for i in range(1500)] + [(-1, "c", i) for i in range(500)], "a long, b string, x long")
+    other = spark.createDataFrame([(7, "b", "seven"), (8, "b", "eight"), (10, "z", "none")], "a long, b string, y string")
+    assert skew.hot_keys(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")), ["a", "b"]).count() == 2
+    for how in ("inner", "left"):
+        got, want = skew.join_hot(rows, other, ["a", "b"], how), rows.join(other, ["a", "b"], how)
+        assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(300, x) for x in range(301, 900)] + [(2000, x) for x in range(950, 1400)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
