@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is an aggregation and a join whose hot keys are broadcast; the edges are cut in the shared
-folder each round, whose shuffle files then go, and nothing but a count and a checksum reaches the driver.
+Every step is an aggregation, cut in the shared folder, and a join of two cut tables, so that Spark can split
+the rows of a hub over tasks. The edges are cut each round, whose shuffle files then go, and nothing but a
+count and a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -9,25 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.skew import hot_keys, join_hot
 from helixspark.session import cut, release
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """a, m, k: of each node with smaller neighbours the smallest one, and how many there are."""
-    return cut(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k")))
+    """a, m: of each node with smaller neighbours the smallest one."""
+    return cut(edges.groupBy("a").agg(F.min("b").alias("m")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links the greater end of each edge to the smallest neighbour of the smaller end, or to that end."""
     low = _least(edges).select(F.col("a").alias("b"), "m")
-    return join_hot(edges, low, ["b"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+    return edges.join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links each node and its smaller neighbours to the smallest of them."""
     low = _least(edges)
-    linked = join_hot(edges, low.select("a", "m"), ["a"], heavy=hot_keys(low, ["a"])).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    linked = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 

@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from helixspark.llm import words
 from helixspark.llm.components import connected_components
-from helixspark.llm.skew import join_hot
 from helixspark.llm.text import named, whole
 from helixspark.session import cut, release, ship, table
 
@@ -236,7 +235,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(spark)
     degree = pairs.groupBy(F.col("b").alias("doc_id")).agg(F.sum("k").alias("degree"))
     own = classes.select("rep", F.col("n").alias("n"), "registers")
-    compared = join_hot(pairs.where("a <> b").select("a", "b"), own.toDF("a", "n_a", "regs_a"), ["a"]).join(own.toDF("b", "n_b", "regs_b"), "b")
+    compared = pairs.where("a <> b").select("a", "b").join(own.toDF("a", "n_a", "regs_a"), "a").join(own.toDF("b", "n_b", "regs_b"), "b")
     star = cut(compared.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_estimates, "a long, b long, estimate double"))
     release(spark)
     near = star.where(F.col("estimate") >= ESTIMATE).select("a", "b")
@@ -251,7 +250,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = links.unionByName(same)
     components = connected_components(links).toDF("rep", "component")
     node = classes.select(*key, "rep").join(components, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    found = join_hot(sketches, node, key, "left")
+    found = sketches.join(cut(node), key, "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -276,7 +275,7 @@ def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, degree:
     members = cut(clusters.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("k") / F.lit(MAX_MEMBERS), F.col("shingles") / F.lit(MAX_SHINGLES))).cast("int")
-    members = cut(join_hot(members, sizes.select("cluster", blocks.alias("blocks")), ["cluster"]))
+    members = members.join(cut(sizes.select("cluster", blocks.alias("blocks"))), "cluster")
     wanted = members.select("doc_id")
     wanted = F.broadcast(wanted) if members.count() <= MAX_BROADCAST else wanted
     sets = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, shingles array<long>")
@@ -301,7 +300,7 @@ def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, degree:
     # what isn't in the largest part of its cluster meets every block
     parts = large.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    apart = join_hot(large, cut(main), ["cluster"]).where("label <> main").drop("main")
+    apart = large.join(cut(main), "cluster").where("label <> main").drop("main")
     homes = cut(apart.select("cluster", F.col("block").alias("from")).distinct())
     homes = F.broadcast(homes) if homes.count() <= MAX_BROADCAST else homes
     asked = apart.select("cluster", F.col("block").alias("from"), _every_block(), *columns)
