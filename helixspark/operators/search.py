@@ -65,15 +65,17 @@ def _few(patterns: DataFrame) -> list[str] | None:
 
 
 def count_few(sequences: DataFrame, patterns: list[str], alphabet: Alphabet) -> DataFrame:
-    """pattern, k: the occurrences of each, by one pass for those within sequences and one for those that may span some."""
-    spark, found = sequences.sparkSession, {}
+    """pattern, k: the occurrences of each, by one pass over the sequences and one over their ends for those that may span some."""
+    hits = lambda text, p, i: F.sum(F.regexp_count(text, F.lit(f"(?={p})")).cast("long")).alias(f"p{i}")
+    found = dict(zip(patterns, sequences.agg(*[hits("seq", p, i) for i, p in enumerate(patterns)]).first(), strict=True)) if patterns else {}
     wide = [p for p in patterns if alphabet.ambiguity in p]
-    for own, text in ((sorted(set(patterns) - set(wide)), sequences), (wide, sequences if not wide else continued(sequences, max(map(len, wide)), alphabet))):
-        if own:
-            # a match begins in the sequence or at the delimiter behind it, so it needs its own length from there
-            sums = [F.sum(F.regexp_count("seq" if text is sequences else F.concat("seq", F.expr(f"left(tail, {len(p)})")), F.lit(f"(?={p})")).cast("long")).alias(f"p{i}") for i, p in enumerate(own)]
-            found |= dict(zip(own, text.agg(*sums).first(), strict=True))
-    return spark.createDataFrame([(p, k or 0) for p, k in found.items()], "pattern string, k long")
+    if wide:  # a match that isn't inside a sequence begins in its last letters or at the delimiter behind it
+        longest = max(map(len, wide))
+        ends = sequences.select("seq_idx", F.expr(f"right(seq, {longest - 1})").alias("end"))
+        ends = ends.join(continued(sequences, longest, alphabet).select("seq_idx", "tail"), "seq_idx")
+        over = ends.agg(*[hits(F.concat(F.expr(f"right(end, {len(p) - 1})"), F.expr(f"left(tail, {len(p)})")), p, i) for i, p in enumerate(wide)]).first()
+        found |= {p: (found[p] or 0) + (n or 0) for p, n in zip(wide, over, strict=True)}
+    return sequences.sparkSession.createDataFrame([(p, k or 0) for p, k in found.items()], "pattern string, k long")
 
 
 def count(sequences: DataFrame, queries: DataFrame, alphabet: Alphabet, max_query_len: int | None = None) -> DataFrame:
