@@ -70,11 +70,12 @@ class Alphabet(Enum):
 
 
 def fold(text: Column, alphabet: Alphabet) -> Column:
-    """Canonical letters, one for each character: ASCII case folded, U as T, anything unknown (also $ and #) ambiguous."""
-    source, target = _LOWER, _UPPER
-    if alphabet is Alphabet.NUCLEOTIDE:
-        source, target = _LOWER + "U", _UPPER.replace("U", "T") + "T"
-    return F.regexp_replace(F.translate(text, source, target), f"[^{alphabet.plain}]", alphabet.ambiguity)
+    """Canonical letters, one for each character: ASCII case folded, U as T, anything unknown (also $ and #) ambiguous.
+
+    All of ASCII goes by one translation; only texts with other characters have matches for the pattern.
+    """
+    ascii_ = "".join(map(chr, range(128)))
+    return F.regexp_replace(F.translate(text, ascii_, fold_text(ascii_, alphabet)), "[^\\x00-\\x7F]", alphabet.ambiguity)
 
 
 def fold_text(text: str, alphabet: Alphabet) -> str:

@@ -1,6 +1,6 @@
 """Counting and locating batches of exact patterns.
 
-A few patterns are counted in one pass over the sequences, by lookahead, so that overlaps count. Larger
+A few patterns are counted in one pass over the sequences, overlaps included. Larger
 batches are joined with the text's windows on their first letters (the seed) and compared in full where
 the seeds meet. Patterns without the ambiguity letter can't span two sequences and skip all
 windows with it, which are the most frequent ones; patterns with it run over the text of all
@@ -9,7 +9,7 @@ sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.functions.alphabet import Alphabet, fold
@@ -64,16 +64,36 @@ def _few(patterns: DataFrame) -> list[str] | None:
     return [r.pattern for r in patterns.collect()] if n <= FEW and (letters or 0) <= FEW_LETTERS else None
 
 
+def hits(text: Column, pattern: str) -> Column:
+    """How often a folded pattern begins in a folded text, overlaps included: by how many letters the text loses.
+
+    A pattern of one repeated letter takes the surplus of each run; one that can't overlap itself is taken
+    out whole, without a regular expression; of any other the first letter goes.
+    """
+    size, first = len(pattern), pattern[0]
+    if pattern == first * size:
+        left, each = F.regexp_replace(text, f"{first}{{{size},}}", first * (size - 1)), 1
+    elif not any(pattern.startswith(pattern[k:]) for k in range(1, size)):
+        left, each = F.replace(text, F.lit(pattern), F.lit("")), size
+    else:
+        left, each = F.regexp_replace(text, f"{first}(?={pattern[1:]})", ""), 1
+    return ((F.octet_length(text) - F.octet_length(left)) / each).cast("long")
+
+
 def count_few(sequences: DataFrame, patterns: list[str], alphabet: Alphabet) -> DataFrame:
-    """pattern, k: the occurrences of each, by one pass over the sequences and one over their ends for those that may span some."""
-    hits = lambda text, p, i: F.sum(F.regexp_count(text, F.lit(f"(?={p})")).cast("long")).alias(f"p{i}")
-    found = dict(zip(patterns, sequences.agg(*[hits("seq", p, i) for i, p in enumerate(patterns)]).first(), strict=True)) if patterns else {}
+    """pattern, k: the occurrences of each. One pass counts within sequences and keeps their ends for patterns that may span some."""
+    sums = lambda counted: [F.sum(c).alias(f"p{i}") for i, c in enumerate(counted)]
     wide = [p for p in patterns if alphabet.ambiguity in p]
-    if wide:  # a match that isn't inside a sequence begins in its last letters or at the delimiter behind it
+    inside = [hits(F.col("seq"), p) for p in patterns]
+    if not wide:
+        found = dict(zip(patterns, sequences.agg(*sums(inside)).first(), strict=True)) if patterns else {}
+    else:  # a match that isn't inside a sequence begins in its last letters or at the delimiter behind it
         longest = max(map(len, wide))
-        ends = sequences.select("seq_idx", F.expr(f"right(seq, {longest - 1})").alias("end"))
-        ends = ends.join(continued(sequences, longest, alphabet).select("seq_idx", "tail"), "seq_idx")
-        over = ends.agg(*[hits(F.concat(F.expr(f"right(end, {len(p) - 1})"), F.expr(f"left(tail, {len(p)})")), p, i) for i, p in enumerate(wide)]).first()
+        ends = F.expr(f"left(seq, {longest})").alias("seq"), F.expr(f"right(seq, {longest - 1})").alias("end")
+        rows = cut(sequences.select("seq_idx", *ends, *[c.alias(f"p{i}") for i, c in enumerate(inside)]))
+        found = dict(zip(patterns, rows.agg(*[F.sum(f"p{i}") for i in range(len(patterns))]).first(), strict=True))
+        spans = continued(rows.select("seq_idx", "seq", "end"), longest, alphabet)
+        over = spans.agg(*sums(hits(F.concat(F.expr(f"right(end, {len(p) - 1})"), F.expr(f"left(tail, {len(p)})")), p) for p in wide)).first()
         found |= {p: (found[p] or 0) + (n or 0) for p, n in zip(wide, over, strict=True)}
     return sequences.sparkSession.createDataFrame([(p, k or 0) for p, k in found.items()], "pattern string, k long")
 

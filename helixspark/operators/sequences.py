@@ -33,14 +33,13 @@ def last_sequence(sequences: DataFrame) -> int:
 
 
 def continued(sequences: DataFrame, letters: int, alphabet: Alphabet) -> DataFrame:
-    """seq_idx, seq, tail: what follows each sequence in the text of all, ``letters`` letters at most.
+    """``sequences`` with tail: what follows each sequence in the text of all, ``letters`` letters at most.
 
     Numbers may have gaps: sequences are counted in their order first. Each round doubles how many
     sequences a tail reaches over, by an equi-join on the place in that order.
     """
-    rows = sequences.select("seq_idx", "seq")
-    last = last_sequence(rows)
-    heads = rows.select("seq_idx", F.expr(f"left(concat(seq, if(seq_idx = {last}L, '', '{alphabet.ambiguity}')), {letters})").alias("head"))
+    last = last_sequence(sequences)
+    heads = sequences.select("seq_idx", F.expr(f"left(concat(seq, if(seq_idx = {last}L, '', '{alphabet.ambiguity}')), {letters})").alias("head"))
     heads, step = cut(running_sum(heads, "seq_idx", F.lit(1), "place")), 1
     n = heads.count()
     while step < n and step < letters:
@@ -53,7 +52,7 @@ def continued(sequences: DataFrame, letters: int, alphabet: Alphabet) -> DataFra
     after = heads.select((F.col("place") - 1).alias("place"), F.col("head").alias("more"))
     tail = F.expr(f"if(seq_idx = {last}L, '', left(concat('{alphabet.ambiguity}', coalesce(more, '')), {letters}))")
     tails = heads.select("seq_idx", "place").join(after, "place", "left").select("seq_idx", tail.alias("tail"))
-    return rows.join(tails, "seq_idx").select("seq_idx", "seq", "tail")
+    return sequences.join(tails, "seq_idx")
 
 
 def windows(sequences: DataFrame, size: int, longest: int | None = None, chunk: int = CHUNK) -> DataFrame:

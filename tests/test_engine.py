@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from helixspark.functions.alphabet import Alphabet, Symbol, fold_text
+from helixspark.functions.alphabet import Alphabet, Symbol, fold, fold_text
 from helixspark.functions.ranges import SearchRange
 from helixspark.operators import fm, search
 from helixspark.operators.ordered import as_of, global_rank, running_sum
@@ -101,6 +101,21 @@ def test_few_patterns_as_many(spark, monkeypatch):
     assert few == sorted(map(tuple, index.parallel_count(asked).collect())) and sum(n for _, n in few) > 100
 
 
+def test_hits_count_overlaps(spark):
+    r = random.Random(8)
+    texts = ["", "A", "NN"] + ["".join(r.choices("ACN", k=r.randrange(40))) for _ in range(30)]
+    asked = ["A", "N", "AA", "AC", "NNN", "ANA", "NAN", "AACA", "NANAN", "CCNN", "ACACA", "ACGTACGTA"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[search.hits(F.col("t"), p).alias(p) for p in asked]).collect()
+    assert all(row[p] == sum(row.t.startswith(p, i) for i in range(len(row.t))) for row in rows for p in asked)
+
+
+def test_fold_of_all_ascii_and_beyond(spark):
+    texts = ["".join(map(chr, range(128))), "na\u00efve \u0130\u0131\u017f\u212a \U0001f600x\nacgtu$#", ""]
+    for alphabet in Alphabet:
+        found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fold(F.col("t"), alphabet).alias("f")).collect()
+        assert [x.f for x in found] == [fold_text(t, alphabet) for t in texts]
+
+
 def test_index_tables(spark):
     r = random.Random(5)
     seqs = ["".join(r.choices("ACGT", k=k)) for k in (400, 60, 0, 33)] + ["ACGT" * 40]
