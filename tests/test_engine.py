@@ -109,6 +109,17 @@ def test_hits_count_overlaps(spark):
     assert all(row[p] == sum(row.t.startswith(p, i) for i in range(len(row.t))) for row in rows for p in asked)
 
 
+def _exchanges(df, rows):
+    """Whether rows as wide as ``rows`` are shuffled anywhere in the plan."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x and rows in x]
+
+
+def test_places_of_a_bounded_batch_are_not_shuffled(spark):
+    """Neither windows nor places move for a batch that can be broadcast."""
+    rows, asked = collection(spark, ["ACGTACGT", "TTACG"]), queries(spark, ["ACG", "TTT", "ACG"])
+    assert not _exchanges(search.locate(rows, asked, NUC), "kmer") and not _exchanges(search.locate(rows, asked, NUC), "pattern")
+
+
 def test_fold_of_all_ascii_and_beyond(spark):
     texts = ["".join(map(chr, range(128))), "na\u00efve \u0130\u0131\u017f\u212a \U0001f600x\nacgtu$#", ""]
     for alphabet in Alphabet:
