@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -115,9 +116,41 @@ def _exchanges(df, rows):
 
 
 def test_places_of_a_bounded_batch_are_not_shuffled(spark):
-    """Neither windows nor places move for a batch that can be broadcast."""
+    """Neither windows nor places move for a batch that can be broadcast; lists move packed, once for each distinct pattern."""
     rows, asked = collection(spark, ["ACGTACGT", "TTACG"]), queries(spark, ["ACG", "TTT", "ACG"])
     assert not _exchanges(search.locate(rows, asked, NUC), "kmer") and not _exchanges(search.locate(rows, asked, NUC), "pattern")
+    assert not _exchanges(search.locate_lists(rows, asked, NUC), "kmer") and not _exchanges(search.locate_lists(rows, asked, NUC), "local_position")
+    assert len(search.lists_by_pattern(rows, asked, NUC).collect()) == 2
+
+
+def test_large_batches_and_small_packs(spark, monkeypatch):
+    """Batches beyond the bounds of a broadcast, packs of a few places and null or repeated query numbers give the same places."""
+    r = random.Random(7)
+    seqs = ["".join(r.choices("ACGTN", k=r.randrange(60))) for _ in range(40)]
+    patterns = [(q, p) for q, p in enumerate(["A", "AC", "NN", "TTTTTTTTTTTTTT", "CN", "GT"])] + [(1, "AC"), (None, "GT"), (None, "GT")]
+    asked = spark.createDataFrame(patterns, "query_id long, pattern string")
+    rows = spark.createDataFrame([(i * 2**34 - 5, "h", s) for i, s in enumerate(seqs)], "seq_idx long, header string, seq string")
+    want = [(q, [(i * 2**34 - 5, k) for i, k in brute(seqs, p, NUC)]) for q, p in patterns]
+    order = lambda x: (x[0] is None, x)
+
+    def check():
+        places = sorted((tuple(x) for x in search.locate(rows, asked, NUC).collect()), key=order)
+        assert places == sorted(((q, *x) for q, found in want for x in found), key=order)
+        lists = [(x.query_id, [tuple(y) for y in x.locations]) for x in search.locate_lists(rows, asked, NUC).collect()]
+        assert sorted(lists, key=order) == sorted(want, key=order)
+
+    check()
+    for name, value in (("PACKED", 3), ("PACK", 2), ("MAX_PATTERNS", 0), ("MAX_QUERIES", 0)):
+        monkeypatch.setattr(search, name, value)
+    check()
+
+
+def test_varints():
+    r = random.Random(3)
+    values = np.array([0, 1, 127, 128, 2**63 - 1, *(r.randrange(2 ** r.randrange(1, 64) - 1 or 1) for _ in range(500))], np.int64)
+    data, starts = search.varints(values)
+    assert (search.from_varints(data) == values).all() and len(search.from_varints(data[:0])) == 0
+    assert [len(data[a:b]) for a, b in zip(starts, [*starts[1:], len(data)], strict=True)] == [max(1, -(-int(v).bit_length() // 7)) for v in values]
 
 
 def test_fold_of_all_ascii_and_beyond(spark):
