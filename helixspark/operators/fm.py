@@ -13,24 +13,24 @@ from pyspark.sql import functions as F
 from helixspark.functions.alphabet import SENTINEL, Alphabet, index_of
 from helixspark.operators.ordered import global_rank
 from helixspark.operators.sequences import continued, last_sequence, sequence_index, windows
-from helixspark.session import cut
+from helixspark.session import cut, release, scratch, stored
 
 #: Letters that the first ranking compares, and rows between milestones.
 FIRST, BLOCK = 16, 256
+#: Bounded suffixes of so many letters at most are sorted by all of them at once.
+SHORT = 64
 
 
 def suffix_array(sequences: DataFrame, alphabet: Alphabet, max_query_len: int | None = None) -> DataFrame:
     """row, pos: all positions of the text, the sentinel's included, in the order of their suffixes.
 
-    With ``max_query_len`` only so many letters are compared, and ties go by position.
+    With ``max_query_len`` only so many letters are compared, and ties go by position; up to SHORT letters
+    are compared in one sort.
     """
+    if max_query_len and max_query_len <= SHORT:
+        return _by_first_letters(sequences, alphabet, max_query_len)
     first = min(FIRST, max_query_len or FIRST)
-    index = sequence_index(sequences.withColumn("header", F.lit("")))
-    last = last_sequence(sequences)
-    ended = sequences.select("seq_idx", F.when(F.col("seq_idx") == last, F.concat("seq", F.lit(SENTINEL))).otherwise(F.col("seq")).alias("seq"))
-    text = continued(ended, first, alphabet)
-    starts = windows(text, 1, first).join(index.select("seq_idx", "start_position"), "seq_idx")
-    ranked = starts.select((F.col("start_position") + F.col("pos")).alias("pos"), F.col("rest").alias("key"))
+    ranked = _starts(sequences, alphabet, first)
     ranked, h = cut(global_rank(ranked, ["key"], "rank").select("pos", "rank")), first
     n = ranked.count()
     while (not max_query_len or h < max_query_len) and ranked.select("rank").distinct().count() < n:
@@ -42,6 +42,33 @@ def suffix_array(sequences: DataFrame, alphabet: Alphabet, max_query_len: int |
     return ranked.select(F.col("rank").alias("row"), "pos")
 
 
+def _starts(sequences: DataFrame, alphabet: Alphabet, letters: int) -> DataFrame:
+    """pos, key of all positions: up to so many letters from there. Texts get their starts before they are taken apart."""
+    index = sequence_index(sequences.withColumn("header", F.lit("")))
+    last = last_sequence(sequences)
+    ended = sequences.select("seq_idx", F.when(F.col("seq_idx") == last, F.concat("seq", F.lit(SENTINEL))).otherwise(F.col("seq")).alias("seq"))
+    text = continued(ended, letters, alphabet).join(index.select("seq_idx", "start_position"), "seq_idx")
+    starts = windows(text.select(F.col("start_position").alias("seq_idx"), "seq", "tail"), 1, letters)
+    return starts.select((F.col("seq_idx") + F.col("pos")).alias("pos"), F.col("rest").alias("key"))
+
+
+def _by_first_letters(sequences: DataFrame, alphabet: Alphabet, letters: int) -> DataFrame:
+    """row, pos by so many letters, then by position: one sort, of which only the positions are stored, in order."""
+    spark = sequences.sparkSession
+    rows = _starts(sequences, alphabet, letters)
+    if alphabet.cardinality < 15:  # two letters a byte; what ends early is smaller than all that goes on
+        digits = F.translate("key", alphabet.letters, "123456789abcdef"[: alphabet.cardinality])
+        rows = rows.select("pos", F.unhex(F.rpad(digits, letters + letters % 2, "0")).alias("key"))
+    placed = rows.repartitionByRange("key", "pos").sortWithinPartitions("key", "pos").select("pos", F.monotonically_increasing_id().alias("at"))
+    placed = stored(placed, scratch(spark, "suffixes"))
+    release(spark)
+    part = F.shiftright("at", 33)  # the number of a partition is above the 33 bits of a row's number in it
+    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    rows = placed.select("pos", part.alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("own"))
+    return rows.join(F.broadcast(before), "part").select((F.col("before") + F.col("own")).cast("long").alias("row"), "pos")
+
+
 def bwt(array: DataFrame, letters: DataFrame) -> DataFrame:
     """row, pos, bwt: the letter before each suffix, the sentinel before the first."""
     before = letters.where(F.col("symbol") != SENTINEL).select((F.col("pos") + 1).alias("pos"), F.col("symbol").alias("bwt"))

@@ -195,6 +195,18 @@ def test_bounded_suffixes(spark):
         index.parallel_count(queries(spark, ["ACAC"])).collect()
 
 
+@pytest.mark.parametrize(("alphabet", "letters"), [(NUC, 5), (NUC, 8), (AMINO, 3)])
+def test_bounded_suffixes_take_one_sort(spark, monkeypatch, alphabet, letters):
+    """No ranking by doubling, which would store and shuffle every position several times; ends, gaps and repeats in order."""
+    r = random.Random(letters)
+    seqs = ["".join(r.choices(alphabet.plain[:3] + alphabet.ambiguity, k=r.choice([0, 1, 2, 30, 300]))) for _ in range(20)] + ["", "A"]
+    rows = spark.createDataFrame([(3 * i + 5, "h", s) for i, s in enumerate(seqs)], "seq_idx long, header string, seq string")
+    text = alphabet.ambiguity.join(seqs) + "$"
+    monkeypatch.setattr(fm, "global_rank", None)
+    got = [x.pos for x in fm.suffix_array(rows, alphabet, letters).orderBy("row").collect()]
+    assert got == sorted(range(len(text)), key=lambda i: (text[i : i + letters], i))
+
+
 @pytest.mark.parametrize("bad", ["", "A$C", "#"])
 def test_invalid_patterns(spark, bad):
     with pytest.raises(PySparkException):
