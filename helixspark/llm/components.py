@@ -1,16 +1,24 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
+"""Connected components of an edge table: in one task for a bounded table, else by alternating large-star and small-star steps.
 
-Every step is an aggregation, cut in the shared folder, and a join of two cut tables, so that Spark can split
+The rounds of steps make dozens of jobs, whose plans, tasks and threads fill the driver, and a bounded table
+needs none of them. In them, every step is an aggregation, cut in the shared folder, and a join of two cut tables, so that Spark can split
 the rows of a hub over tasks. The edges are cut each round, whose shuffle files then go, and nothing but a
 count and a checksum reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.session import cut, release
+from helixspark.session import cut, release, ship
+
+#: Up to so many edges (16 MB) are decided in one task.
+ONE_TASK = 1_000_000
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -31,9 +39,34 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges a, b, and the smallest node that each reaches."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        open_ = low < high
+        if not open_.any():
+            return ids, ids[root]
+        x, y = x[open_], y[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+    if ends:
+        ids, least = least_reachable(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least)], ["id", "component"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """id and component (its smallest id) of every node of ``edges`` (long columns a, b)."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.count() <= ONE_TASK:
+        ship(edges.sparkSession)
+        return edges.coalesce(1).mapInArrow(_in_one_task, "id long, component long")
     sums, before = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))), None
     while True:
         now = tuple(edges.agg(*sums).first())

@@ -426,6 +426,23 @@ def test_components(spark):
 # ---- mixing
 
 
+def test_components_of_bounded_tables_take_one_task(spark, monkeypatch):
+    """A bounded edge table takes a few jobs, not rounds of them, and gives what the rounds give: chains, hubs, repeats, loops, negative ids."""
+    r = random.Random(12)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000 - i, 5001 - i) for i in range(80)]
+    edges += [(r.randrange(6000, 6400), r.randrange(6000, 6400)) for _ in range(250)] + [(7, 7), (9000, 9000), (-3, 5), (2**62, -(2**62))]
+    r.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("few", "")
+    got = sorted(map(tuple, components.connected_components(df).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("more", "")
+    monkeypatch.setattr(components, "ONE_TASK", -1)
+    assert got == sorted(map(tuple, components.connected_components(df).collect())) and len({i for i, _ in got}) == len(got)
+    assert jobs <= 8 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("more"))
+    assert components.connected_components(df.limit(0)).isEmpty()
+
+
 def test_raking_meets_targets(spark):
     r = random.Random(2)
     cells = [(s, la, t, r.randrange(1, 1000)) for s in "abcd" for la in "xy" for t in "pq"]
