@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixspark.functions.alphabet import SENTINEL, Alphabet, index_of
+from helixspark.operators import bounded
 from helixspark.operators.ordered import global_rank
 from helixspark.operators.sequences import continued, last_sequence, sequence_index, windows
 from helixspark.session import cut, release, scratch, stored
@@ -25,8 +26,12 @@ def suffix_array(sequences: DataFrame, alphabet: Alphabet, max_query_len: int |
     """row, pos: all positions of the text, the sentinel's included, in the order of their suffixes.
 
     With ``max_query_len`` only so many letters are compared, and ties go by position; up to SHORT letters
-    are compared in one sort.
+    are compared in one sort, or as far as they fit in 96 bits without a shuffle of positions.
     """
+    if max_query_len and bounded.fits(alphabet, max_query_len):
+        found = bounded.by_first_letters(sequences, alphabet, max_query_len)
+        if found is not None:
+            return found
     if max_query_len and max_query_len <= SHORT:
         return _by_first_letters(sequences, alphabet, max_query_len)
     first = min(FIRST, max_query_len or FIRST)

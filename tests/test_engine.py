@@ -207,6 +207,31 @@ def test_bounded_suffixes_take_one_sort(spark, monkeypatch, alphabet, letters):
     assert got == sorted(range(len(text)), key=lambda i: (text[i : i + letters], i))
 
 
+@pytest.mark.parametrize(("alphabet", "letters", "size"), [(NUC, 32, 40), (NUC, 1, 60), (AMINO, 19, 50), (NUC, 21, 10**6)])
+def test_bounded_suffixes_are_sorted_in_buckets(spark, monkeypatch, alphabet, letters, size):
+    """Positions aren't shuffled; buckets end within runs of equal letters, rows within sequences, and longer texts give the same."""
+    r = random.Random(letters)
+    a = alphabet.ambiguity
+    seqs = [a * 90, "", a, "".join(r.choices(alphabet.plain + a, k=400)), "".join(r.choices(alphabet.plain[:2], k=200)), a * 90, ""]
+    seqs += [seqs[3][:50], seqs[3], alphabet.plain[0] * 40]
+    rows = spark.createDataFrame([(3 * i + 5, "h", s) for i, s in enumerate(seqs)], "seq_idx long, header string, seq string").repartition(3)
+    text = a.join(seqs) + "$"
+    want = sorted(range(len(text)), key=lambda i: (text[i : i + letters], i))
+    monkeypatch.setattr(fm.bounded, "BUCKET", size * 5)
+    monkeypatch.setattr(fm.bounded, "CHUNK", size)
+    found = fm.suffix_array(rows, alphabet, letters)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [x.pos for x in found.orderBy("row").collect()] == want
+    monkeypatch.setattr(fm.bounded, "MOST", 10)
+    assert [x.pos for x in fm.suffix_array(rows, alphabet, letters).orderBy("row").collect()] == want
+
+
+def test_steps_of_positions():
+    at = np.array([0, 1, 255, 510, 1529, 3, 258, 70000])
+    data, ends = fm.bounded.gaps(at, np.array([0, 5]))
+    assert fm.bounded.from_gaps(data[: ends[4]]).tolist() == at[:5].tolist() and fm.bounded.from_gaps(data[ends[4] :]).tolist() == at[5:].tolist()
+
+
 @pytest.mark.parametrize("bad", ["", "A$C", "#"])
 def test_invalid_patterns(spark, bad):
     with pytest.raises(PySparkException):
